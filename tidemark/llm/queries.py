@@ -3,15 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, sharding, simhash
+from tidemark.llm import bpe, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, token_scan
 from tidemark.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.substring_dedup(spark, docs)
+    removed = F.expr("aggregate(removed_spans, 0L, (s, x) -> s + x.end - x.start)")
+    return cut.select("doc_id", "text", "removed_spans", F.size("removed_spans").alias("n_spans"), removed.alias("n_removed"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(spark, table(spark, sf_dir, "documents"))
+    decoded = bpe.decode_documents(spark, encoded)
+    return decoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_id(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(spark, table(spark, sf_dir, "documents"))
 
@@ -20,10 +43,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave_shards(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.document_token_counts(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE = {
