@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, token_scan
+from tidemark.llm import bpe, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_scan
 from tidemark.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.document_token_counts(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.suffix_dedup(spark, table(spark, sf_dir, "documents"))
+    removed = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -60,6 +68,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE = {
