@@ -158,15 +158,15 @@ class DigestIndex:
             yield from bucket
 
 
-_DIGESTS = "doc_id long, uid long, digest binary"
+_DIGESTS = "doc_id long, uid long, text_hash long, digest binary"
 _GROUPS = "digest binary, keep_id long, keep_uid long, group_size long"
 _GROUP_FIELDS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64())])
 
 
 def _digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        digests = [hashlib.sha256(t.lower()).digest() for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary())], names=["doc_id", "uid", "digest"])
+        digests = [hashlib.sha256(t.lower()).digest() for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.binary())], names=["doc_id", "uid", "text_hash", "digest"])
 
 
 def _rank(doc_id: int | None, uid: int) -> tuple:
@@ -209,9 +209,11 @@ def digest_groups(rows: DataFrame, flush: int = FLUSH) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flush: int = FLUSH) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash (XXH64 of the text as it is)."""
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_bytes(text_col).alias("t"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(text_col).alias("text_hash"), text_bytes(text_col).alias("t")
+    )
     rows = stage(spark, rows.mapInArrow(_digest_batches, _DIGESTS), "digests")
     groups = stage(spark, digest_groups(rows, flush), "digest-groups")
     return rows.join(groups, "digest").select(
@@ -220,4 +222,5 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         "group_size",
         (F.col("uid") == F.col("keep_uid")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_hash",
     )

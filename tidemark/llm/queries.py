@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_scan
+from tidemark.llm import bpe, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, suffix_dedup, token_scan, topk
 from tidemark.llm.common import table
 
 
@@ -28,7 +28,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.document_token_counts(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.suffix_dedup(spark, table(spark, sf_dir, "documents"))
     removed = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
@@ -68,6 +72,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
@@ -84,4 +89,18 @@ ORACLE = {
                h AS text_sha256
         FROM d
     """,
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
 }
