@@ -107,7 +107,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_W
     other = [c for c in docs.columns if c != text_col]
     same = docs[id_col].cast("long").eqNullSafe(repeats[_ID]) & (F.xxhash64(docs[text_col]) == repeats[_KEY])
     text = docs[text_col].cast("binary").alias("__t")
-    joined = docs.join(repeats, same, "left").select(text, F.col(_CUT), *[docs[c] for c in other])
+    joined = docs.join(repeats.hint("merge"), same, "left").select(text, F.col(_CUT), *[docs[c] for c in other])
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other)
     made = joined.mapInArrow(lambda it: _cut_batches(it, min_words), f"{types}{', ' if types else ''}`__text` binary, `__spans` array<struct<start:long,end:long>>")
     return made.select(*[F.col("__text").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("__spans").alias("removed_spans"))

@@ -310,7 +310,7 @@ def window_marks(spark: SparkSession, rows: DataFrame, width: int = WIDTH, hot:
     packed = packed.repartition("bucket").sortWithinPartitions("bucket")
     entries = stage(spark, packed.mapInArrow(lambda it: _bucket_batches(it, hot), _ROWS), "suffix-entries")
     wanted = entries.where(F.col("kind") != MARK).groupBy("rid", "key").agg(F.collect_list(F.struct("kind", "a", "s", "m")).alias("entries"))
-    once = rows.join(stage(spark, wanted, "suffix-wanted"), ["rid", "key"]).select("rid", "key", "t", "entries")
+    once = rows.join(stage(spark, wanted, "suffix-wanted").hint("merge"), ["rid", "key"]).select("rid", "key", "t", "entries")
     pieces = once.mapInArrow(lambda it: _fetch_batches(it, width, buckets), _PIECES)
     pieces = pieces.repartition("shard").sortWithinPartitions("kind", "shard", "a")
     marks = stage(spark, pieces.mapInArrow(lambda it: _shard_batches(it, width, shard), _ROWS), "suffix-marks")
@@ -326,5 +326,5 @@ def suffix_dedup(
     marks = window_marks(spark, rows, width, hot, shard)
     marks = marks.groupBy("rid", "key").agg(F.collect_list(F.struct("s", "m")).alias("marks"))
     marks = stage(spark, marks, "suffix-spans")
-    whole = rows.join(marks, ["rid", "key"], "left").select(F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id"), "t", "marks")
+    whole = rows.join(marks.hint("merge"), ["rid", "key"], "left").select(F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id"), "t", "marks")
     return whole.mapInArrow(lambda it: _result_batches(it, width), "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
