@@ -37,9 +37,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = made.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*key, "kept")
     chosen = rows.groupBy(_UID, _HASH).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("kept")
     same = docs["doc_id"].eqNullSafe(F.col(_UID)) & (F.xxhash64(docs["text"]) == F.col(_HASH))
-    once = docs.join(chosen.where("n = 1"), same, "left_semi")
+    once = docs.join(chosen.where("n = 1").hint("merge"), same, "left_semi")
     # rows that repeat both id and text; one of them has been chosen
-    repeated = docs.join(chosen.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    repeated = docs.join(chosen.where("n > 1").hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(repeated)
 
 
@@ -47,7 +47,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document of smallest id; documents without an id stay."""
     classes = simhash.simhash_groups(spark, docs)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(_UID)).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[_UID], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone[_UID], "left_anti")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
