@@ -16,7 +16,8 @@ Only documents with a repeat are cut.
 Edge cases: null text stays null; an empty text has no lines; null ids rank first; rows that
 repeat both id and text are one document: they are cut alike and are no repeats of each
 other; rows with equal ids and other texts rank by a hash of the text; an empty table gives an
-empty result; other columns keep their values, whatever their names.
+empty result; other columns keep their values, whatever their names, but one named
+removed_spans is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from tidemark.llm.bpe import in_parts
 from tidemark.llm.common import ship, stage, text_bytes
 
 MIN_WORDS = 20
-_ID, _KEY, _CUT = "__sd_id", "__sd_key", "__sd_cut"
 
 
 def units(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
@@ -86,7 +86,7 @@ def _cut_batches(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[
             spans.append([{"start": x, "end": y} for x, y in gone])
         cut = pa.array(texts, pa.binary())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*b.columns[2:], cut, pa.array(spans, kind)], names=[*b.schema.names[2:], "__text", "__spans"])
+        yield pa.RecordBatch.from_arrays([*b.columns[2:], cut, pa.array(spans, kind)], names=[*b.schema.names[2:], "cut", "spans"])
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,11 +103,15 @@ def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` cut, and removed_spans: array<struct<start,end>> in bytes of the original text."""
-    repeats = stage(spark, repeated_units(spark, docs, id_col, text_col).select(F.col("doc_id").alias(_ID), F.col("key").alias(_KEY), F.col("repeats").alias(_CUT)), "repeats")
-    other = [c for c in docs.columns if c != text_col]
-    same = docs[id_col].cast("long").eqNullSafe(repeats[_ID]) & (F.xxhash64(docs[text_col]) == repeats[_KEY])
-    text = docs[text_col].cast("binary").alias("__t")
-    joined = docs.join(repeats.hint("merge"), same, "left").select(text, F.col(_CUT), *[docs[c] for c in other])
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other)
-    made = joined.mapInArrow(lambda it: _cut_batches(it, min_words), f"{types}{', ' if types else ''}`__text` binary, `__spans` array<struct<start:long,end:long>>")
-    return made.select(*[F.col("__text").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("__spans").alias("removed_spans"))
+    repeats = stage(spark, repeated_units(spark, docs, id_col, text_col), "repeats").select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "repeats")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    flat = docs.toDF(*names)
+    id_at, text_at = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    same = F.col(id_at).cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(text_at) == F.col("r_key"))
+    other = [c for c in names if c != text_at]
+    joined = flat.join(repeats.hint("merge"), same, "left").select(F.col(text_at).cast("binary").alias("t"), "repeats", *other)
+    types = "".join(f"{c} {flat.schema[c].dataType.simpleString()}, " for c in other)
+    made = joined.mapInArrow(lambda it: _cut_batches(it, min_words), f"{types}cut binary, spans array<struct<start:long,end:long>>")
+    made = made.withColumn(text_at, F.col("cut").cast("string"))
+    before = [(c, n) for c, n in zip(docs.columns, names, strict=True) if c != "removed_spans"]
+    return made.select(*[n for _, n in before], "spans").toDF(*[c for c, _ in before], "removed_spans")
