@@ -25,9 +25,10 @@ _UID, _HASH = "__pipeline_uid", "__pipeline_hash"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language, all columns as they were."""
     model = lang_id.fit(spark, docs.where(~lang_id.held_out()))
-    made = lang_id.predict(spark, docs.withColumnRenamed("doc_id", _UID), model, _UID, "text", [F.col(c).alias(f"__{c}") for c in docs.columns if c != "doc_id"])
-    kept = made.where(F.col("lang_pred") != lang_id.UNDETERMINED)
-    return kept.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__{c}").alias(c) for c in docs.columns])
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    id_at, text_at = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    made = lang_id.predict(spark, docs.toDF(*names), model, id_at, text_at, [F.col(c) for c in names])
+    return made.where(F.col("lang_pred") != lang_id.UNDETERMINED).select(*names).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
