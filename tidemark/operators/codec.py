@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from tidemark.functions import arith, xor
+from tidemark.operators.predictors import Predictor
 from tidemark.shipping import ship
 
 METHODS = 3
@@ -125,6 +126,24 @@ def decode_hybrid(coded: DataFrame, mean_length: int = 16) -> DataFrame:
     return exploded(rows)
 
 
+def decode_residuals(heads: DataFrame, residuals: DataFrame, factory: Callable[[], Predictor], length: int, step: int) -> DataFrame:
+    """(series_id, pos, v) from raw heads (series_id, pos, v) and window residuals (series_id, pos, residual).
+
+    Each window of ``step`` values is forecast from the ``length`` values decoded before it.
+    """
+
+    def one(head: list[int], residual: list[int] | None):
+        model, out = factory(), list(head)
+        residual = residual or []
+        for at in range(0, len(residual), step):
+            forecast = np.rint(model.predict(np.array([out[-length:]], np.float64))[0]).astype(np.int64).tolist()
+            out += [f + r for f, r in zip(forecast, residual[at : at + step], strict=False)]
+        return (out,)
+
+    both = gathered(heads, "v").select("series_id", F.col("v").alias("head")).join(gathered(residuals, "residual"), "series_id", "left")
+    return exploded(by_row(both, ["series_id"], ["head", "residual"], one, "value array<bigint>"))
+
+
 def exploded(rows: DataFrame, column: str = "value", key: str = "series_id") -> DataFrame:
     values = rows.select(key, F.posexplode(column).alias("pos", "v"))
     return values.withColumn("pos", F.col("pos").cast("bigint"))

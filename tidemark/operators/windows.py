@@ -67,3 +67,8 @@ def stream_layout(sizes: DataFrame, length: int, step: int, batch: int) -> DataF
     return rows.where(own > 0).select(
         "series_id", "stream_id", "is_final", (F.col("stream_id") * F.col("per_stream")).alias("first_window"), own.alias("windows"), coded.alias("coded_windows")
     )
+
+
+def stripped(series: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The series without its padding: positions below ``n`` of the layout."""
+    return series.join(sizes.select("series_id", "n"), "series_id").where(F.col("pos") < F.col("n")).drop("n")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits, digits, rounding, varint, vocabulary
-from tidemark.operators import cascade, codec, entropy, metrics, predictors, scaling, windows
+from tidemark.operators import cascade, codec, entropy, metrics, positions, predictors, scaling, windows
 from tidemark.operators.series import events_by_type, events_by_user, orders_by_customer, table
 from tidemark.sources import container, readers, writers
 from tidemark.streaming import residuals
@@ -231,6 +231,40 @@ def model_window_residuals(spark, sf_dir):
     return predictors.window_residuals(predictors.predict_windows(made, lambda: predictors.WindowMean(S)), L, S)
 
 
+@query(f"WITH {_USER} SELECT series_id, pos, v FROM s")
+def strip_padding(spark, sf_dir):
+    rows = events_by_user(spark, sf_dir)
+    return windows.stripped(windows.padded(rows, L, S), windows.layout(rows, L, S))
+
+
+@query(f"WITH {_USER} SELECT series_id, pos, v FROM s")
+def model_residual_roundtrip(spark, sf_dir):
+    rows = events_by_user(spark, sf_dir)
+    sizes = windows.layout(rows, L, S)
+    padded = windows.padded(rows, L, S)
+    made = predictors.predict_windows(windows.strided(padded, L, S), lambda: predictors.WindowMean(S))
+    back = codec.decode_residuals(rows.where(F.col("pos") < L), predictors.window_residuals(made, L, S), lambda: predictors.WindowMean(S), L, S)
+    return windows.stripped(back, sizes).select("series_id", "pos", "v")
+
+
+def _long(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where(F.col("value").isNotNull()).select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
+    placed = positions.long_positions(rows, "series_id", ["ts", "event_id"], F.to_date("ts"))
+    return placed.select("series_id", "pos", rounding.scaled(F.col("value"), 2).alias("v"))
+
+
+@query(f"WITH {_TYPE} SELECT series_id, pos, v FROM s")
+def long_positions(spark, sf_dir):
+    return _long(spark, sf_dir)
+
+
+@query(f"WITH {_TYPE} SELECT series_id, pos, v FROM s")
+def long_series_roundtrip(spark, sf_dir):
+    streams = positions.cut_streams(_long(spark, sf_dir), 1024)
+    coded = codec.encode_hybrid(cascade.hybrid_rows(streams, HEAD, tiers=3), streams.where(F.col("pos") < HEAD))
+    return positions.join_streams(codec.decode_hybrid(coded), 1024)
+
+
 @query(
     f"""WITH {_TYPE}, l AS (SELECT series_id, CAST(ceil((count(*) - 16) / 4.0) AS BIGINT) AS windows FROM s GROUP BY series_id HAVING count(*) > 16),
     c AS (SELECT series_id, windows, windows // 8 AS per, CASE WHEN windows % 8 > 0 THEN 8 ELSE 7 END AS streams FROM l),
@@ -465,6 +499,19 @@ def rank_histogram(spark, sf_dir):
     return counts.groupBy("rank").agg(F.sum("n").alias("n"))
 
 
+@query(f"WITH {_PAIRS} SELECT ctx, token FROM rk WHERE rank = 0")
+def greedy_successor(spark, sf_dir):
+    return entropy.greedy(entropy.successor_counts(_pairs(spark, sf_dir)))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, pos, token FROM pr")
+def rank_inverse(spark, sf_dir):
+    rows = _pairs(spark, sf_dir)
+    table_ = entropy.ranked(entropy.successor_counts(rows))
+    ranks = entropy.token_ranks(rows, table_).select("conv_id", "turn", "pos", "ctx", "rank")
+    return entropy.token_at_rank(table_, ranks).select("conv_id", "turn", "pos", "token")
+
+
 @query(
     f"""WITH {_PAIRS}, p AS (SELECT ctx, token, (n + 1) / sum(n + 1) OVER (PARTITION BY ctx) AS prob FROM n),
     c AS (SELECT ctx, token, sum(prob * 10000000 + 1) OVER (PARTITION BY ctx ORDER BY token) AS c FROM p)
