@@ -33,7 +33,7 @@ from tidemark.llm.bpe import in_parts
 from tidemark.llm.common import ship, text_bytes
 
 UNDETERMINED = "und"
-SLOTS, PER_LANGUAGE, TRAIN_BYTES, MAX_LANGUAGES = 1 << 15, 400, 20_000, 200
+SLOTS, PER_LANGUAGE, TRAIN_BYTES, MAX_LANGUAGES = 1 << 15, 400, 20_000, 100
 STEPS, PENALTY = 30, 0.5
 _NOT_LETTERS = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]").search
@@ -144,12 +144,12 @@ def fit(
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["lang", "slot", "n"])
 
-    summed = sample.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r["lang"] for r in summed})
+    # at most max_languages x SLOTS rows reach the driver, as columns
+    summed = sample.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    rows_of = summed.column("lang").to_pandas()
+    languages = sorted(rows_of.unique().tolist())
     table = np.zeros((len(languages), SLOTS))
-    number = {x: k for k, x in enumerate(languages)}
-    for r in summed:
-        table[number[r["lang"]], r["slot"]] = r["n"]
+    table[rows_of.map({x: k for k, x in enumerate(languages)}).to_numpy(np.int64), summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
     table += 0.5
     return Model(languages, table / table.sum(axis=1, keepdims=True))
 
