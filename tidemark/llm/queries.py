@@ -13,7 +13,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring_dedup.substring_dedup(spark, docs)
     removed = F.expr("aggregate(removed_spans, 0L, (s, x) -> s + x.end - x.start)")
-    return cut.select("doc_id", "text", "removed_spans", F.size("removed_spans").alias("n_spans"), removed.alias("n_removed"))
+    spans = F.concat_ws(",", F.expr("transform(removed_spans, x -> concat(x.start, '-', x.end))"))
+    return cut.select("doc_id", "text", spans.alias("spans"), F.size("removed_spans").cast("long").alias("n_spans"), removed.alias("n_removed"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,36 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_substring_dedup": r"""
+        WITH p AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k,
+                   len(string_split(text, chr(10))) AS n
+            FROM documents WHERE text IS NOT NULL
+        ), w AS (
+            SELECT *, line || CASE WHEN k < n THEN chr(10) ELSE '' END AS whole,
+                   [x FOR x IN string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+') IF x <> ''] AS words
+            FROM p
+        ), u AS (
+            SELECT *, sum(octet_length(encode(whole))) OVER (PARTITION BY doc_id ORDER BY k) AS stop,
+                   octet_length(encode(whole)) AS size, array_to_string(words, ' ') AS norm
+            FROM w
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again FROM u WHERE norm <> ''
+        ), g AS (
+            SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r
+        ), s AS (
+            SELECT doc_id, min(stop - size) AS a, max(stop) AS b FROM g WHERE again GROUP BY doc_id, run HAVING sum(len(words)) >= 20
+        ), t AS (
+            SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed
+            FROM s GROUP BY doc_id
+        ), c AS (
+            SELECT u.doc_id, string_agg(whole, '' ORDER BY k) FILTER (WHERE s.a IS NULL) AS text
+            FROM u LEFT JOIN s ON s.doc_id = u.doc_id AND stop - size >= a AND stop <= b AND size > 0 GROUP BY u.doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text, coalesce(spans, '') AS spans,
+               coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op3_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
