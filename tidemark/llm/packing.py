@@ -177,6 +177,6 @@ def pack(
     base = F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("of_part")
     totals = totals.select("part", base.alias("base"))
     places = ranged.join(F.broadcast(totals), "part").select("uid", (F.col("base") + F.col("before")).alias("at"))
-    placed = tokens.select("uid", "doc_id", "ids").join(places, "uid").select("doc_id", "ids", "at")
+    placed = tokens.select("uid", "doc_id", "ids").join(places.hint("merge"), "uid").select("doc_id", "ids", "at")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.mapInArrow(lambda it: _piece_batches(it, length), schema)
