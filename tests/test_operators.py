@@ -129,12 +129,12 @@ def test_successors_and_ranks(spark):
     assert ranks == {("", "a"): 0, ("a", "b"): 0, ("a", "c"): 1, ("b", "a"): 0}
 
 
-@pytest.mark.parametrize("head", [4, 64])
-def test_text_codecs(spark, head):
+@pytest.mark.parametrize(("head", "step"), [(4, 1), (64, 1), (8, 4)])
+def test_text_codecs(spark, head, step):
     texts = ["", "x", "the cat and the dog and the cat " * 6, "Fehler: ü 日本 🎉 " * 9]
     rows = spark.createDataFrame(list(enumerate(texts)), "series_id int, text string")
-    coded = codec.encode_text(rows, head)
-    for back in (codec.decode_text(coded, head), codec.decode_ranks(coded, head)):
+    coded = codec.encode_text(rows, head, step=step)
+    for back in (codec.decode_text(coded, head, step), codec.decode_ranks(coded, head, step)):
         assert [r["text"] for r in back.orderBy("series_id").collect()] == texts
     r = coded.where("series_id = 2").first()
     assert len(r["ranks"]) == len(r["probs"]) == len(texts[2]) - head and all(0 < p <= 1 for p in r["probs"])

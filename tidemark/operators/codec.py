@@ -149,30 +149,34 @@ def exploded(rows: DataFrame, column: str = "value", key: str = "series_id") ->
     return values.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def window_model(counts: dict[str, dict[str, int]], alphabet: list[str]) -> Callable[[str], list[int]]:
-    """Cumulative tables of an order-1 model with counts plus one, at the scale of the coder."""
-    tables: dict[str, list[int]] = {}
-
-    def table(context: str) -> list[int]:
-        if context not in tables:
-            seen = counts.get(context, {})
-            total = sum(seen.values()) + len(alphabet)
-            tables[context] = arith.quantised([(seen.get(c, 0) + 1) / total for c in alphabet])
-        return tables[context]
-
-    return table
-
+class HeadModel:
+    """An order-1 character model with counts plus one, trained on the head, which the decoder knows before anything else."""
+
+    def __init__(self, letters: list[str], head: str):
+        self.letters, self.counts, self.tables = letters, {}, {}
+        for a, b in zip(head, head[1:], strict=False):
+            row = self.counts.setdefault(a, {})
+            row[b] = row.get(b, 0) + 1
+
+    def table(self, context: str) -> tuple[list[int], list[int]]:
+        """(cumulative table, symbols by share, the largest first, ties to the smaller) after a context."""
+        if context not in self.tables:
+            seen = self.counts.get(context, {})
+            total = sum(seen.values()) + len(self.letters)
+            model = arith.quantised([(seen.get(c, 0) + 1) / total for c in self.letters])
+            shares = [y - x for x, y in zip(model, model[1:], strict=False)]
+            self.tables[context] = model, sorted(range(len(shares)), key=lambda j: (-shares[j], j))
+        return self.tables[context]
 
-def _model_of(text: str, alphabet: list[str], head: int) -> Callable[[str], list[int]]:
-    """The head trains the model: it is known to the decoder before anything else is."""
-    counts: dict[str, dict[str, int]] = {}
-    for a, b in zip(text[:head], text[1:head], strict=False):
-        row = counts.setdefault(a, {})
-        row[b] = row.get(b, 0) + 1
-    return window_model(counts, alphabet)
+    def block(self, context: str, step: int) -> Iterator[tuple[list[int], list[int]]]:
+        """Tables of the next ``step`` symbols: only the first follows the truth, the others the model's own best symbol."""
+        for _ in range(step):
+            model, order = self.table(context)
+            yield model, order
+            context = self.letters[order[0]]
 
 
-def encode_text(texts: DataFrame, head: int = 256, alphabet: str | None = None, key: str = "series_id", text: str = "text") -> DataFrame:
+def encode_text(texts: DataFrame, head: int = 256, alphabet: str | None = None, step: int = 1, key: str = "series_id", text: str = "text") -> DataFrame:
     """(key, n, symbols, payload, ranks, probs): a head coded uniformly, the rest under the order-1 model of the head.
 
     ``symbols`` is the alphabet (that of the text itself by default). Ranks and probabilities
@@ -187,51 +191,46 @@ def encode_text(texts: DataFrame, head: int = 256, alphabet: str | None = None,
         coder, flat = arith.Encoder(), arith.uniform(len(letters))
         for c in t[:head]:
             coder.write(flat, index[c])
-        table, ranks, probs = _model_of(t, letters, head), [], []
-        for before, c in zip(t[head - 1 :], t[head:], strict=False):
-            model, k = table(before), index[c]
-            coder.write(model, k)
-            shares = [y - x for x, y in zip(model, model[1:], strict=False)]
-            ranks.append(sum(s > shares[k] or (s == shares[k] and j < k) for j, s in enumerate(shares)))
-            probs.append(shares[k] / model[-1])
+        source, ranks, probs = HeadModel(letters, t[:head]), [], []
+        for at in range(head, len(t), step):
+            for c, (model, order) in zip(t[at : at + step], source.block(t[at - 1], step), strict=False):
+                k = index[c]
+                coder.write(model, k)
+                ranks.append(order.index(k))
+                probs.append((model[k + 1] - model[k]) / model[-1])
         return len(t), "".join(letters), coder.finish(), ranks, probs
 
     return by_row(texts, [key], [text], one, "n bigint, symbols string, payload binary, ranks array<int>, probs array<double>")
 
 
-def decode_text(coded: DataFrame, head: int = 256, key: str = "series_id") -> DataFrame:
+def _read_text(n: int, symbols: str, payload: bytes, head: int, step: int, pick: Callable) -> str:
+    """The head from the payload, the rest symbol by symbol from ``pick(decoder, model, order)``."""
+    if not n:
+        return ""
+    decoder, flat = arith.Decoder(payload), arith.uniform(len(symbols))
+    out = [symbols[decoder.read(flat)] for _ in range(min(head, n))]
+    source = HeadModel(list(symbols), "".join(out))
+    while len(out) < n:
+        for model, order in source.block(out[-1], min(step, n - len(out))):
+            out.append(symbols[pick(decoder, model, order)])
+    return "".join(out)
+
+
+def decode_text(coded: DataFrame, head: int = 256, step: int = 1, key: str = "series_id") -> DataFrame:
     """(key, text)."""
 
     def one(n: int, symbols: str, payload: bytes):
-        if not n:
-            return ("",)
-        decoder, flat = arith.Decoder(payload), arith.uniform(len(symbols))
-        out = [symbols[decoder.read(flat)] for _ in range(min(head, n))]
-        table = _model_of("".join(out), list(symbols), head)
-        while len(out) < n:
-            out.append(symbols[decoder.read(table(out[-1]))])
-        return ("".join(out),)
+        return (_read_text(n, symbols, payload, head, step, lambda decoder, model, order: decoder.read(model)),)
 
     return by_row(coded, [key], ["n", "symbols", "payload"], one, "text string")
 
 
-def decode_ranks(coded: DataFrame, head: int = 256, key: str = "series_id") -> DataFrame:
+def decode_ranks(coded: DataFrame, head: int = 256, step: int = 1, key: str = "series_id") -> DataFrame:
     """(key, text) from the coded head and the ranks of the rest."""
 
     def one(n: int, symbols: str, payload: bytes, ranks: list[int]):
-        if not n:
-            return ("",)
-        decoder, flat = arith.Decoder(payload), arith.uniform(len(symbols))
-        out = [symbols[decoder.read(flat)] for _ in range(min(head, n))]
-        table = _model_of("".join(out), list(symbols), head)
-        orders: dict[str, list[int]] = {}
-        for rank in ranks:
-            if out[-1] not in orders:
-                model = table(out[-1])
-                shares = [y - x for x, y in zip(model, model[1:], strict=False)]
-                orders[out[-1]] = sorted(range(len(shares)), key=lambda j, s=shares: (-s[j], j))
-            out.append(symbols[orders[out[-1]][rank]])
-        return ("".join(out),)
+        left = iter(ranks)
+        return (_read_text(n, symbols, payload, head, step, lambda decoder, model, order: order[next(left)]),)
 
     return by_row(coded, [key], ["n", "symbols", "payload", "ranks"], one, "text string")
 

@@ -547,6 +547,12 @@ def rank_decode_roundtrip(spark, sf_dir):
     return codec.decode_ranks(coded, head=HEAD)
 
 
+@query(f"WITH {_NUMERIC} SELECT series_id, text FROM q")
+def ac_text_steps_roundtrip(spark, sf_dir):
+    coded = codec.encode_text(_numeric_text(spark, sf_dir), head=HEAD, alphabet=vocabulary.SYMBOLS, step=S)
+    return codec.decode_text(coded, head=HEAD, step=S)
+
+
 def _turns(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
     return rows.select(F.concat_ws(":", "conv_id", "turn").alias("series_id"), "text")
