@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -311,38 +312,36 @@ def test_mixture_proportions(spark, docs):
 # substring dedup
 
 
-def lines_by_hand(rows, min_words):
-    order = sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0))
+def passages_by_hand(rows, min_words):
     seen, out = set(), {}
-    for i, t in order:
-        raw = t.encode()
-        parts, at = [], 0
-        for line in raw.replace(b"\r", b"\n").splitlines(keepends=True):
-            parts.append((raw[at : at + len(line)], line.lower().split()))
-            at += len(line)
-        mine = [(tuple(w) in seen or parts[:k].count(p) > 0 or any(tuple(q[1]) == tuple(w) for q in parts[:k])) and bool(w) for k, (p, w) in enumerate(parts) for _ in [0]]
-        seen |= {tuple(w) for _, w in parts}
+    for i, t in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        parts = re.findall(rb"(?s).*?(?:[\r\n]|[.!?][ \t]+)|.+", t.encode())
+        words = [tuple(p.lower().split()) for p in parts]
+        again = []
+        for w in words:
+            again.append(len(w) >= 5 and w in seen)
+            seen.add(w)
         gone, k = set(), 0
         while k < len(parts):
-            if mine[k]:
-                end, run, words = k, [], 0
-                while end < len(parts) and (mine[end] or not parts[end][1]):
-                    if mine[end]:
-                        run, words = list(range(k, end + 1)), words + len(parts[end][1])
-                    end += 1
-                if words >= min_words:
-                    gone |= set(run)
-                k = end
-            else:
+            if not again[k]:
                 k += 1
-        out[i, t] = b"".join(p for j, (p, _) in enumerate(parts) if j not in gone).decode()
+                continue
+            run, at, between = [k], k + 1, 0
+            while at < len(parts) and (again[at] or (len(words[at]) < 5 and between + len(words[at]) <= 8)):
+                between = 0 if again[at] else between + len(words[at])
+                run += [at] if again[at] else []
+                at += 1
+            if sum(len(words[j]) for j in run) >= min_words:
+                gone |= set(range(run[0], run[-1] + 1))
+            k = at
+        out[i, t] = b"".join(p for j, p in enumerate(parts) if j not in gone).decode()
     return out
 
 
 @pytest.mark.parametrize("min_words", [1, 20])
 def test_substring_dedup(spark, docs, min_words):
     for table in (edge(spark), docs):
-        want = lines_by_hand(pairs_of(table), min_words)
+        want = passages_by_hand(pairs_of(table), min_words)
         made = substring_dedup.substring_dedup(spark, table, min_words)
         ordered = table.select("doc_id", "text").collect()
         assert sorted(((r["doc_id"], r["text"]) for r in made.collect()), key=repr) == sorted(((i, want.get((i, t), t)) for i, t in ordered), key=repr)
@@ -356,6 +355,13 @@ def test_substring_dedup(spark, docs, min_words):
     assert substring_dedup.substring_dedup(spark, nothing(spark)).count() == 0
 
 
+def test_passage_inside_a_line(spark):
+    passage = "Ab one two three four. Cd five six seven eight nine! Ef is it ten? No. Gh eleven twelve thirteen fourteen fifteen sixteen seventeen."
+    rows = [(1, f"Own words first {passage} and more."), (2, f"Other start here now {passage} Then its own end."), (3, "Cd five six seven eight nine! Clean text goes on in its own way.")]
+    made = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()}
+    assert made == {1: rows[0][1], 2: "Other start here now Ab one two three four. Then its own end.", 3: rows[2][1]}
+
+
 def _without(text, spans):
     out, at = [], 0
     for s in spans:

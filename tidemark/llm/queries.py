@@ -79,34 +79,41 @@ QUERIES = {
 
 ORACLE = {
     "op1_substring_dedup": r"""
-        WITH p AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k,
-                   len(string_split(text, chr(10))) AS n
+        WITH d AS (
+            SELECT doc_id, string_split(regexp_replace(text, '([\r\n]|[.!?][ \t]+)', '\1' || chr(1), 'g'), chr(1)) AS pieces
             FROM documents WHERE text IS NOT NULL
+        ), p AS (
+            SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM d
         ), w AS (
-            SELECT *, line || CASE WHEN k < n THEN chr(10) ELSE '' END AS whole,
-                   [x FOR x IN string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+') IF x <> ''] AS words
+            SELECT *, [x FOR x IN string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+') IF x <> ''] AS words
             FROM p
         ), u AS (
-            SELECT *, sum(octet_length(encode(whole))) OVER (PARTITION BY doc_id ORDER BY k) AS stop,
-                   octet_length(encode(whole)) AS size, array_to_string(words, ' ') AS norm
+            SELECT doc_id, k, piece, len(words) AS n, array_to_string(words, ' ') AS norm, octet_length(encode(piece)) AS size,
+                   sum(octet_length(encode(piece))) OVER (PARTITION BY doc_id ORDER BY k) AS stop
             FROM w
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again FROM u WHERE norm <> ''
+            SELECT *, n >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again FROM u
+        ), c AS (
+            SELECT *, sum(CASE WHEN n >= 5 AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS fresh,
+                   sum(CASE WHEN n < 5 THEN n ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS short
+            FROM r
         ), g AS (
-            SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r
+            SELECT *, CASE WHEN fresh = lag(fresh) OVER o AND short - lag(short) OVER o <= 8 THEN 0 ELSE 1 END AS opens
+            FROM c WHERE again WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+        ), i AS (
+            SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM g
         ), s AS (
-            SELECT doc_id, min(stop - size) AS a, max(stop) AS b FROM g WHERE again GROUP BY doc_id, run HAVING sum(len(words)) >= 20
+            SELECT doc_id, min(stop - size) AS a, max(stop) AS b FROM i GROUP BY doc_id, run HAVING sum(n) >= 20
         ), t AS (
             SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed
             FROM s GROUP BY doc_id
-        ), c AS (
-            SELECT u.doc_id, string_agg(whole, '' ORDER BY k) FILTER (WHERE s.a IS NULL) AS text
+        ), kept AS (
+            SELECT u.doc_id, string_agg(piece, '' ORDER BY k) FILTER (WHERE s.a IS NULL) AS text
             FROM u LEFT JOIN s ON s.doc_id = u.doc_id AND stop - size >= a AND stop <= b AND size > 0 GROUP BY u.doc_id
         )
-        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text, coalesce(spans, '') AS spans,
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(spans, '') AS spans,
                coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed
-        FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+        FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
     "op3_exact_dedup": """
         WITH d AS (

@@ -1,19 +1,22 @@
-"""Substring dedup by line hashing.
-
-Method: a document is cut into lines. A line is normalised (A-Z lowered, white space runs to
-one space, ends trimmed) and digested (128 bits of BLAKE2b). Digests are grouped globally; the
-occurrence that ranks first (smallest document, then earliest line) stays and every later one
-is a repeat. Adjacent repeats form a run (blank lines between them belong to it); a run of at
-least ``min_words`` words is removed with its line ends, so a long repeated passage goes
-whether it is one line or many, and stray short lines that also occur elsewhere stay.
-Removed spans are reported in bytes of the original text.
-
-Distribution: lines leave the first pass as digests, never as text. Digests are counted with
+"""Substring dedup by line hashing, with the sentences of lines as units.
+
+Method: a document is cut after line ends and after ., ! or ? with white space behind it, as
+passages are often set into a line. A unit is normalised (A-Z lowered, white space runs to
+one space, ends trimmed) and, if it has MIN_UNIT words or more, digested (128 bits of
+BLAKE2b). Digests are grouped globally; the occurrence that ranks first (smallest document,
+then earliest unit) stays and every later one is a repeat. Repeats that follow one another,
+with at most BRIDGE words of shorter units between two of them, form a run; a run whose
+repeats have at least ``min_words`` words is removed, so a long repeated passage goes whatever
+its lines, and a stray line or sentence that also occurs elsewhere stays. Removed spans are
+reported in bytes of the original text.
+
+Distribution: units leave the first pass as digests, never as text. Digests are counted with
 partial aggregation, so a line in a third of all documents is one row per task; only digests
 that occur twice go on, and they are joined back by a join that Spark can split when skewed.
-Only documents with a repeat are cut.
+The digests are made again for that join rather than kept, as they would take more room than
+the texts. Only documents with a repeat are cut.
 
-Edge cases: null text stays null; an empty text has no lines; null ids rank first; rows that
+Edge cases: null text stays null; an empty text has no units; null ids rank first; rows that
 repeat both id and text are one document: they are cut alike and are no repeats of each
 other; rows with equal ids and other texts rank by a hash of the text; an empty table gives an
 empty result; other columns keep their values, whatever their names, but one named
@@ -23,8 +26,10 @@ removed_spans is replaced.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,44 +37,60 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import in_parts
 from tidemark.llm.common import ship, stage, text_bytes
 
-MIN_WORDS = 20
+MIN_WORDS, MIN_UNIT, BRIDGE = 20, 5, 8
+_CUT = re.compile(rb"[\r\n]|[.!?][ \t]+")
 
 
-def units(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end with the line end, words, digest) of each line; blank lines have no digest."""
+def units(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, words in lower case) of each unit; the white space after a unit is its own."""
     at = 0
-    for line in text.splitlines(keepends=True) if b"\r" not in text else text.replace(b"\r", b"\n").splitlines(keepends=True):
-        words = line.lower().split()
-        yield at, at + len(line), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else b""
-        at += len(line)
+    for m in _CUT.finditer(text):
+        yield at, m.end(), text[at : m.end()].lower().split()
+        at = m.end()
+    if at < len(text):
+        yield at, len(text), text[at:].lower().split()
 
 
 def removed_spans(text: bytes, repeats: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeated lines that hold at least ``min_words`` words."""
+    """Spans of the runs of repeated units that hold at least ``min_words`` words."""
     spans: list[tuple[int, int]] = []
-    run: list[int] | None = None  # start, end, words
-    for k, (start, end, words, _) in enumerate(units(text)):
+    first = last = words = bridge = 0  # words: of the open run, 0 if there is none
+
+    def close() -> None:
+        if words >= min_words:
+            spans.append((first, last))
+
+    for k, (start, end, own) in enumerate(units(text)):
         if k in repeats:
-            run = [run[0] if run else start, end, (run[2] if run else 0) + words]
-        elif words and run:
-            if run[2] >= min_words:
-                spans.append((run[0], run[1]))
-            run = None
-    if run and run[2] >= min_words:
-        spans.append((run[0], run[1]))
+            if not words:
+                first = start
+            last, words, bridge = end, words + len(own), 0
+        elif words:
+            bridge += len(own)
+            if len(own) >= MIN_UNIT or bridge > BRIDGE:
+                close()
+                words = 0
+    close()
     return spans
 
 
 def _unit_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "key", "unit", "hi", "lo"]
+    """Texts to their digested units; place: 32 bits of the text's hash and the number of the unit."""
+    names = ["doc_id", "place", "hi", "lo"]
+    blake = hashlib.blake2b
     for b in in_parts(batches):
-        rows: list[tuple] = []
+        ids: list[int | None] = []
+        places: list[int] = []
+        digests: list[bytes] = []
         for doc_id, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for k, (_, _, _, digest) in enumerate(units(text)):
-                if digest:
-                    rows.append((doc_id, key, k, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            found = [(k, blake(b" ".join(w), digest_size=16).digest()) for k, (_, _, w) in enumerate(units(text)) if len(w) >= MIN_UNIT]
+            ids += [doc_id] * len(found)
+            base = (key >> 32) << 32
+            places += [base | k for k, _ in found]
+            digests += [d for _, d in found]
+        two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _cut_batches(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -90,15 +111,16 @@ def _cut_batches(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, repeats): the numbers of the lines of a document that occur earlier."""
+    """(doc_id, key, repeats): the numbers of the units of a document that occur earlier; key: the high half of the text's hash."""
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), text_bytes(text_col).alias("t"))
-    lines = stage(spark, rows.mapInArrow(_unit_batches, "doc_id long, key long, unit long, hi long, lo long"), "lines")
-    place = F.struct("doc_id", "key", "unit")
-    first = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
-    first = stage(spark, first, "repeated-lines")
-    later = lines.join(first, ["hi", "lo"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "key").agg(F.collect_set("unit").alias("repeats"))
+    found = rows.mapInArrow(_unit_batches, "doc_id long, place long, hi long, lo long")
+    place = F.struct("doc_id", "place")
+    first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
+    first = stage(spark, first, "repeated-units")
+    later = found.join(first.hint("merge"), ["hi", "lo"]).where(~place.eqNullSafe(F.col("first")))
+    unit = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return later.groupBy("doc_id", F.shiftright("place", 32).alias("key")).agg(F.collect_set(unit).alias("repeats"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +129,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_W
     names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
     flat = docs.toDF(*names)
     id_at, text_at = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    same = F.col(id_at).cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(text_at) == F.col("r_key"))
+    same = F.col(id_at).cast("long").eqNullSafe(F.col("r_id")) & (F.shiftright(F.xxhash64(text_at), 32) == F.col("r_key"))
     other = [c for c in names if c != text_at]
     joined = flat.join(repeats.hint("merge"), same, "left").select(F.col(text_at).cast("binary").alias("t"), "repeats", *other)
     types = "".join(f"{c} {flat.schema[c].dataType.simpleString()}, " for c in other)
