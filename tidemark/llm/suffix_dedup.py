@@ -18,7 +18,8 @@ anchor position make a segment. Anchors are counted in numeric blocks, one per s
 * the earliest of each kind of an anchor with several kinds is fetched and sorted in a shard;
 * an anchor with over HOT kinds of segments (a short common line in ever new surroundings)
   is not given to one shard: each of its windows is dealt by its own hash of 128 bits and
-  settled like segments.
+  settled like segments. One that shows over HOT / LOCAL kinds inside a task already is not
+  gathered in its bucket either: the bucket gets a flag in place of the entries.
 
 Distribution: the texts are read three times: for anchors, for the segments to fetch, and for
 the result; they are joined with the few entries that concern them by id and hash. All
@@ -47,7 +48,9 @@ from tidemark.llm.suffix_array import permuted_lcp, suffix_array
 
 WIDTH, K, HOT = 100, 32, 256
 SHARD, FLUSH, CHUNK = 1 << 20, 1 << 20, 1 << 19
-MARK, FETCH, WINDOWS = 0, 1, 2
+MARK, FETCH, WINDOWS, FLAG = 0, 1, 2, 3
+#: An anchor with over HOT / LOCAL kinds of segments in one flush of one task is hot at once.
+LOCAL = 16
 NO_ID = -(1 << 63)
 _ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("rid", "<i8"), ("key", "<i8"), ("s", "<i4"), ("m", "<i4")])
 _ROWS = "kind int, a long, rid long, key long, s int, m int"
@@ -99,8 +102,9 @@ def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[new], e[~new & ~same]
 
 
-def _pack(e: np.ndarray, buckets: int, kind: int) -> pa.RecordBatch:
-    bucket = (e["a"] % np.uint64(buckets)).astype(np.int64)
+def _pack(e: np.ndarray, buckets: int, kind: int, by: str = "a") -> pa.RecordBatch:
+    """One row for each bucket, by anchor, or by document for entries that only pass through."""
+    bucket = (np.ascontiguousarray(e[by]).view(np.uint64) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     e, bucket = e[order], bucket[order]
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(e)]
@@ -126,22 +130,36 @@ def _out(kind: int, e: np.ndarray) -> pa.RecordBatch:
 
 
 class _Packer:
-    """Collects entries; settles and packs them when full."""
+    """Collects entries; settles and packs them when full.
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, [], 0
+    An anchor with over ``local`` kinds in one flush is hot: a flag tells its bucket so, and its
+    entries go on to be dealt by window, over buckets by document, so none gathers them.
+    """
+
+    def __init__(self, buckets: int, local: int | None = None):
+        self.buckets, self.local, self.held, self.size = buckets, local, [], 0
 
     def add(self, e: np.ndarray) -> None:
         self.held.append(e)
         self.size += len(e)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            first, marked = _settle(np.concatenate(self.held))
-            self.held, self.size = [], 0
-            yield _pack(first, self.buckets, FETCH)
-            if len(marked):
-                yield _pack(marked, self.buckets, MARK)
+        if not self.size:
+            return
+        first, marked = _settle(np.concatenate(self.held))
+        self.held, self.size = [], 0
+        if self.local is not None:
+            anchors, which, kinds = np.unique(first["a"], return_inverse=True, return_counts=True)
+            hot = kinds > self.local
+            if hot.any():
+                flags = np.zeros(int(hot.sum()), _ENTRY)
+                flags["a"] = anchors[hot]
+                yield _pack(flags, self.buckets, FLAG)
+                yield _pack(first[hot[which]], self.buckets, WINDOWS, "key")
+                first = first[~hot[which]]
+        for rows, kind, by in ((first, FETCH, "a"), (marked, MARK, "key")):
+            if len(rows):
+                yield _pack(rows, self.buckets, kind, by)
 
 
 def _entries(a: np.ndarray, b: np.ndarray, rid: int, key: int, s: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -150,8 +168,8 @@ def _entries(a: np.ndarray, b: np.ndarray, rid: int, key: int, s: np.ndarray, m:
     return e
 
 
-def _anchor_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    packer, xx = _Packer(buckets), xxhash.xxh64_intdigest
+def _anchor_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int, hot: int) -> Iterator[pa.RecordBatch]:
+    packer, xx = _Packer(buckets, hot // LOCAL), xxhash.xxh64_intdigest
     for batch in in_parts(batches):
         for rid, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for a, s, m in segments(text, width):
@@ -163,13 +181,18 @@ def _anchor_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int)
     yield from packer.flush()
 
 
-def _settle_bucket(held: list[bytes], hot: int) -> Iterator[pa.RecordBatch]:
+def _settle_bucket(held: list[bytes], flags: list[bytes], hot: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
     first, marked = _settle(np.concatenate([_unpack(x) for x in held]))
     if len(marked):
         yield _out(MARK, marked)
     _, which, kinds = np.unique(first["a"], return_inverse=True, return_counts=True)
     kinds = kinds[which]
-    for kind, rows in ((FETCH, first[(kinds > 1) & (kinds <= hot)]), (WINDOWS, first[kinds > hot])):
+    by_window = kinds > hot
+    if flags:
+        by_window |= np.isin(first["a"], np.concatenate([_unpack(x)["a"] for x in flags]))
+    for kind, rows in ((FETCH, first[(kinds > 1) & ~by_window]), (WINDOWS, first[by_window])):
         if len(rows):
             yield _out(kind, rows)
 
@@ -177,19 +200,20 @@ def _settle_bucket(held: list[bytes], hot: int) -> Iterator[pa.RecordBatch]:
 def _bucket_batches(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """Packed rows sorted by bucket to rows of marks, segments to fetch, and segments to deal by window."""
     held: list[bytes] = []
+    flags: list[bytes] = []
     last = None
     for batch in batches:
         for bucket, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != last and held:
-                yield from _settle_bucket(held, hot)
-                held = []
-            last = bucket
-            if kind == MARK:
-                yield _out(MARK, _unpack(payload))
-            else:
+            if bucket != last:
+                yield from _settle_bucket(held, flags, hot)
+                held, flags, last = [], [], bucket
+            if kind == FETCH:
                 held.append(payload)
-    if held:
-        yield from _settle_bucket(held, hot)
+            elif kind == FLAG:
+                flags.append(payload)
+            else:
+                yield _out(kind, _unpack(payload))
+    yield from _settle_bucket(held, flags, hot)
 
 
 _PIECES = "shard long, kind int, a long, rid long, key long, s int, seg binary"
@@ -306,7 +330,7 @@ def window_marks(spark: SparkSession, rows: DataFrame, width: int = WIDTH, hot:
     """(rid, key, s, m): runs of windows of rows (rid, key, t) that also start earlier."""
     ship(spark)
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(lambda it: _anchor_batches(it, width, buckets), _PACKED)
+    packed = rows.mapInArrow(lambda it: _anchor_batches(it, width, buckets, hot), _PACKED)
     packed = packed.repartition("bucket").sortWithinPartitions("bucket")
     entries = stage(spark, packed.mapInArrow(lambda it: _bucket_batches(it, hot), _ROWS), "suffix-entries")
     wanted = entries.where(F.col("kind") != MARK).groupBy("rid", "key").agg(F.collect_list(F.struct("kind", "a", "s", "m")).alias("entries"))
