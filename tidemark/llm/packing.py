@@ -18,6 +18,7 @@ ids pass through; an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -32,7 +33,7 @@ from tidemark.llm.bpe import Memo, as_text, byte_alphabet, in_parts, vocabulary_
 from tidemark.llm.common import ship, stage, text_bytes
 
 VOCABULARY, END_ID, LENGTH = "word_bpe_49k.json", 1, 2048
-DIMS_HASHED, DIMS, BITS, SEED, MEMO = 256, 4, 12, 20177, 200_000
+DIMS_HASHED, DIMS, BITS, SEED, MEMO = 256, 4, 12, 20177, 300_000
 
 
 class WordTokens:
@@ -66,9 +67,15 @@ class WordTokens:
         """A pre-token in lower case."""
         if not (word.isascii() and word.isprintable()):
             word = "".join(map(self.stand_in.__getitem__, word.encode("utf-8")))
-        return np.array([t.id for t in self.model.tokenize(word)], "<u2").tobytes()
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
+        # the usual chunks: letters, with or without one mark after them
+        if chunk.isalpha():  # of bytes: ASCII letters only
+            return self.words[chunk.decode().lower()]
+        if chunk[-1:] in b".," and chunk[:-1].isalpha():
+            return self.words[chunk[:-1].decode().lower()] + self.words[chunk[-1:].decode()]
         text = as_text(chunk)
         if self.plain(text) and "<|" not in text:
             return b"".join([self.words[w] for w in self.cut(text.lower())])
