@@ -223,6 +223,19 @@ def test_token_counts(spark, docs, tokenizers, block):
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == want
 
 
+def test_token_counts_of_texts_with_a_separator(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path(bpe.VOCABULARY))
+    library.encode_special_tokens = True  # strings of special tokens are text
+    rows = [(i, t) for i, t, *_ in EDGE] + [(20, "<|endoftext|><|endoftext|>"), (21, "one more text after it")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one file
+    for block in (7, 1 << 18):
+        got = token_scan.document_token_counts(spark, table, block=block).collect()
+        want = sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
+        assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == want
+
+
 def test_token_files(spark, tmp_path):
     files = {"a": [5, 9, 0, 0, 7, 0], "b": [1, 2, 3], "c": [], "d": [0], "e": [4] * 25 + [0, 8]}
     for name, ids in files.items():

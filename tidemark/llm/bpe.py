@@ -149,9 +149,9 @@ class Bpe:
             return b"".join([self._packed(p.encode("utf-8")) if len(p) > 64 else self.memo[p] for p in pieces])
         return b"".join(map(self.memo.__getitem__, pieces))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.cut is None or not any(s in text for s in self.special):
+    def encode(self, text: str, special: bool = True) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; without ``special``, strings of special tokens are plain text."""
+        if not special or self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
         parts = self.cut(text)
         return b"".join(np.array([self.special[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))

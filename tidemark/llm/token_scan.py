@@ -11,7 +11,8 @@ Distribution: blocks are independent; the scan over a file only handles one row
 
 Edge cases: a document may be empty, or span any number of blocks; ids after the last
 separator form a document with ``closed`` false; an empty file has no documents; null text
-counts as empty when files are built; null, repeated or clashing columns of the source table
+counts as empty when files are built; special token strings in a text are plain text then, so
+that the separator only closes documents; null, repeated or clashing columns of the source table
 pass or are ignored.
 """
 
@@ -55,7 +56,7 @@ def _flat_batches(batches: Iterable[pa.RecordBatch], path: str, block: int, sepa
 
     for b in bpe.in_parts(batches):
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.frombuffer(coder.encode(bpe.as_text(raw)), "<u4").astype("<u2").tobytes() + end
+            ids = np.frombuffer(coder.encode(bpe.as_text(raw), special=False), "<u4").astype("<u2").tobytes() + end
             held += ids
             total += len(ids)
             ends.append((total, doc_id))
