@@ -309,6 +309,17 @@ def test_language_id_edges(spark):
     assert lang_id.language_id(spark, bare).first()["lang_pred"] == "und"
 
 
+def test_every_language_and_whole_texts_are_learned(spark):
+    words = [f"{a}{b}{a}{a}{b}" for a in "abcdefghijk" for b in "lmnopqrstuv"]  # one language each
+    rows = [(k, " ".join([w] * 20), f"l{k:03}") for k, w in enumerate(words)] + [(900 + k, "zwz yxy", "l999") for k in range(3)]
+    table = spark.createDataFrame([*rows, (1000, "ab " * 8000 + "zq " * 9000, "long")], "doc_id long, text string, lang string")
+    model = lang_id.fit(spark, table)
+    assert model.languages == sorted({r[2] for r in rows} | {"long"}) and len(model.languages) > 100
+    slots, counts = lang_id.features(b"zq " * 9000)
+    learned = model.likelihood[model.languages.index("long")]
+    assert all(learned[slots[counts > 8000]] > 1000 * learned.min())
+
+
 def test_mixture_proportions(spark, docs):
     model = lang_id.fit(spark, docs)
     of = {r["lang"]: r["text"] for r in docs.where("length(text) > 1500 AND lang IS NOT NULL").orderBy("doc_id").collect()}

@@ -9,10 +9,10 @@ one by one while the penalised likelihood (BIC: half a logarithm of the n-gram c
 further language) improves. The prediction is the language with the largest proportion;
 ``score`` is that proportion.
 
-The model is learned from at most ``per_language`` labelled documents of each language and
-``train_bytes`` bytes of each, chosen by a hash of the id: a documented bound on the sample, not
-on what is predicted. Its size is languages x SLOTS numbers, broadcast with the task; at most
-``max_languages`` languages, the most frequent ones, are learned. Every whole text is scored.
+The model is learned from the whole texts of about ``per_language`` labelled documents of each
+language, chosen by a hash of the id: a documented bound on the sample, not on what is
+predicted. Every language is learned, however rare; the model has languages x SLOTS numbers,
+broadcast with the task. Every whole text is scored.
 
 Edge cases: a text that is null, empty or without a letter is ``und`` with score 0; without
 labelled documents everything is ``und``; null and repeated ids pass through; an empty table
@@ -33,7 +33,7 @@ from tidemark.llm.bpe import in_parts
 from tidemark.llm.common import ship, text_bytes
 
 UNDETERMINED = "und"
-SLOTS, PER_LANGUAGE, TRAIN_BYTES, MAX_LANGUAGES = 1 << 15, 400, 20_000, 100
+SLOTS, PER_LANGUAGE = 1 << 15, 400
 STEPS, PENALTY = 30, 0.5
 _NOT_LETTERS = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]").search
@@ -114,8 +114,6 @@ def fit(
     spark: SparkSession,
     labelled: DataFrame,
     per_language: int = PER_LANGUAGE,
-    train_bytes: int = TRAIN_BYTES,
-    max_languages: int = MAX_LANGUAGES,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -125,13 +123,11 @@ def fit(
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("lang-sample")).alias("h"), F.col(text_col).alias("t")
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return Model([], np.zeros((0, SLOTS)))
     # a threshold on the hash keeps about the wanted number of each language without a sort of it
+    many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_language)
+    bar = F.coalesce(F.lit(float(per_language)) / F.col("n"), F.lit(1.0))
     span = float(1 << 63)
-    bar = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
-    sample = rows.where((F.col("h").cast("double") / (2 * span) + 0.5) <= F.element_at(bar, F.col("lang"))).select("lang", F.substring("t", 1, train_bytes).cast("binary").alias("t"))
+    sample = rows.join(F.broadcast(many), "lang", "left").where((F.col("h").cast("double") / (2 * span) + 0.5) <= bar).select("lang", F.col("t").cast("binary").alias("t"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -144,11 +140,13 @@ def fit(
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["lang", "slot", "n"])
 
-    # at most max_languages x SLOTS rows reach the driver, as columns
+    # at most languages x SLOTS rows reach the driver, as columns
     summed = sample.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     rows_of = summed.column("lang").to_pandas()
     languages = sorted(rows_of.unique().tolist())
     table = np.zeros((len(languages), SLOTS))
+    if not languages:
+        return Model([], table)
     table[rows_of.map({x: k for k, x in enumerate(languages)}).to_numpy(np.int64), summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
     table += 0.5
     return Model(languages, table / table.sum(axis=1, keepdims=True))
