@@ -45,10 +45,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of smallest id; documents without an id stay."""
-    classes = simhash.simhash_groups(spark, docs)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(_UID)).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone[_UID], "left_anti")
+    """Of each class of near copies the document of smallest id; documents without an id stay.
+
+    Rows go by id and text, as an id may repeat with other texts; if the smallest id itself
+    has several texts in the class, the one of least hash stays.
+    """
+    classes = stage(spark, simhash.simhash_groups(spark, docs, with_text=True), "pipeline-classes")
+    key = [F.col("doc_id").alias(_UID), F.col("text_hash").alias(_HASH)]
+    later = classes.where(F.col("doc_id") != F.col("component_id")).select(*key)
+    lowest = classes.where(F.col("doc_id") == F.col("component_id"))
+    tied = lowest.groupBy("class").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("class", "least")
+    others = lowest.join(tied.hint("merge"), "class").where("text_hash <> least").select(*key)
+    gone = later.union(others).distinct()
+    same = (docs["doc_id"] == gone[_UID]) & (F.xxhash64(docs["text"]) == gone[_HASH])
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

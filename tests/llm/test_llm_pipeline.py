@@ -47,6 +47,15 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pieces.collect()} == set(texts)
 
 
+def test_near_copies_with_repeated_ids(spark, tmp_path):
+    near = [" ".join([*[f"word{j}" for j in range(300)], f"end{k}"]) for k in range(3)]
+    twins = [" ".join([*[f"term{j}" for j in range(300)], f"end{k}"]) for k in range(2)]
+    rows = [(1, near[0]), (5, near[1]), (5, "a clean text of its own"), (6, near[2]), (9, twins[0]), (9, twins[1]), (None, near[2])]
+    docs = written(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path, "docs")
+    kept = [tuple(r) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert {rows[0], rows[2], rows[6]} <= set(kept) and len(kept) == 4  # and one of the twins
+
+
 def test_stages_on_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], NAMES)
     for k, (_, step) in enumerate(corpus_pipeline.STAGES):

@@ -69,7 +69,7 @@ def _signed(x: int) -> int:
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = [_signed(fingerprint(t, width)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
 def _masks(blocks: int) -> list[int]:
@@ -176,14 +176,18 @@ def simhash_groups(
     hot: int = HOT,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_text: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id; ``with_text`` adds text_hash (XXH64 of the text) and class."""
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
-    rows = stage(spark, rows.mapInArrow(lambda it: _fingerprint_batches(it, width), "doc_id long, fp long"), "fingerprints")
+    more = [F.xxhash64(text_col).alias("text_hash")] if with_text else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"), *more)
+    made = "doc_id long, fp long" + (", text_hash long" if with_text else "")
+    rows = stage(spark, rows.mapInArrow(lambda it: _fingerprint_batches(it, width), made), "fingerprints")
     fps = stage(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     roots = components(spark, hamming_links(spark, fps.select("fp"), distance, blocks, hot))
     classes = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    labelled = stage(spark, classes.join(lowest, "root").select("fp", "component_id"), "fingerprint-labels")
-    return rows.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = stage(spark, classes.join(lowest, "root").select("fp", "component_id", "root"), "fingerprint-labels")
+    extra = ["text_hash", F.col("root").alias("class")] if with_text else []
+    return rows.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *extra)
