@@ -336,33 +336,45 @@ def test_mixture_proportions(spark, docs):
 # substring dedup
 
 
+def units_by_hand(raw, min_words):
+    """{(start, end): words} of the paragraphs of whole lines and of whole sentences."""
+    lines, at = [], 0
+    for line in re.findall(rb"[^\r\n]*[\r\n]|[^\r\n]+", raw):
+        pieces, place = [], at
+        for piece in re.findall(rb"(?s).*?[.!?][ \t]+|.+", line):
+            pieces.append((place, place + len(piece), piece.lower().split()))
+            place += len(piece)
+        at += len(line)
+        pieces = [p for p in pieces if p[2]]
+        if pieces:
+            lines.append(pieces)
+    out = {}
+    for parts in (lines, [[p] for line in lines for p in line]):
+        for k in range(len(parts)):
+            words = []
+            for e in range(k, len(parts)):
+                words += [w for p in parts[e] for w in p[2]]
+                if sum(1 + len(w) // 15 for w in words) >= min_words:
+                    out[parts[k][0][0], parts[e][-1][1]] = tuple(words)
+                    break
+    return out
+
+
 def passages_by_hand(rows, min_words):
+    """What is left of each text, and the bytes removed; every byte removed lies in a unit seen earlier."""
     seen, out = set(), {}
     for i, t in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0)):
-        parts = re.findall(rb"(?s).*?(?:[\r\n]|[.!?][ \t]+)|.+", t.encode())
-        words = [tuple(p.lower().split()) for p in parts]
-        again = []
-        for w in words:
-            again.append(len(w) >= 5 and w in seen)
-            seen.add(w)
-        gone, k = set(), 0
-        while k < len(parts):
-            if not again[k]:
-                k += 1
-                continue
-            run, at, between = [k], k + 1, 0
-            while at < len(parts) and (again[at] or (len(words[at]) < 5 and between + len(words[at]) <= 8)):
-                between = 0 if again[at] else between + len(words[at])
-                run += [at] if again[at] else []
-                at += 1
-            if sum(len(words[j]) for j in run) >= min_words:
-                gone |= set(range(run[0], run[-1] + 1))
-            k = at
-        out[i, t] = b"".join(p for j, p in enumerate(parts) if j not in gone).decode()
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for (a, b), words in sorted(units_by_hand(raw, min_words).items()):
+            if words in seen:
+                gone[a:b] = True
+            seen.add(words)
+        out[i, t] = bytes(np.frombuffer(raw, np.uint8)[~gone]).decode()
     return out
 
 
-@pytest.mark.parametrize("min_words", [1, 20])
+@pytest.mark.parametrize("min_words", [1, 7, 20])
 def test_substring_dedup(spark, docs, min_words):
     for table in (edge(spark), docs):
         want = passages_by_hand(pairs_of(table), min_words)
@@ -373,7 +385,7 @@ def test_substring_dedup(spark, docs, min_words):
         for r in made.where("size(removed_spans) > 0").collect():
             cut = {t.encode() for i, t in texts if i == r["doc_id"]}
             assert any(_without(t, r["removed_spans"]) == r["text"].encode() for t in cut)
-    made = substring_dedup.substring_dedup(spark, edge(spark))
+    made = substring_dedup.substring_dedup(spark, edge(spark), min_words)
     assert made.columns == [c for c in edge(spark).columns if c != "removed_spans"] + ["removed_spans"]
     assert made.where("doc_id = 10").first()["text"].count("w59") == 0
     assert substring_dedup.substring_dedup(spark, nothing(spark)).count() == 0
@@ -381,9 +393,23 @@ def test_substring_dedup(spark, docs, min_words):
 
 def test_passage_inside_a_line(spark):
     passage = "Ab one two three four. Cd five six seven eight nine! Ef is it ten? No. Gh eleven twelve thirteen fourteen fifteen sixteen seventeen."
-    rows = [(1, f"Own words first {passage} and more."), (2, f"Other start here now {passage} Then its own end."), (3, "Cd five six seven eight nine! Clean text goes on in its own way.")]
+    rows = [(1, f"Own words first. {passage} and more."), (2, f"Other start here now. {passage} Then its own end."), (3, "Cd five six seven eight nine! Clean text goes on in its own way.")]
     made = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()}
-    assert made == {1: rows[0][1], 2: "Other start here now Ab one two three four. Then its own end.", 3: rows[2][1]}
+    assert made == {1: rows[0][1], 2: "Other start here now. Then its own end.", 3: rows[2][1]}
+
+
+def test_words_between_repeats_stay(spark):
+    one, two = "One two three four five six seven.", "Eight nine ten eleven twelve thirteen."
+    rows = [(1, f"{one} {two}\n"), (2, f"{one} UNIQUE SECRET. {two}\nUNIQUE LINE\n{one} {two}\n")]
+    for min_words, want in ((13, f"{one} UNIQUE SECRET. {two}\nUNIQUE LINE\n"), (1, "UNIQUE SECRET. UNIQUE LINE\n")):
+        made = substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), min_words)
+        assert {r["doc_id"]: r["text"] for r in made.collect()} == {1: rows[0][1], 2: want}
+
+
+def test_passage_without_spaces(spark):
+    rows = [(k, f"{start}\n{'這是一段很長的文字沒有空格' * 12}\n") for k, start in enumerate(("甲", "乙"))]
+    made = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert made == {0: rows[0][1], 1: "乙\n"}
 
 
 def _without(text, spans):

@@ -85,31 +85,39 @@ ORACLE = {
         ), p AS (
             SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM d
         ), w AS (
-            SELECT *, [x FOR x IN string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+') IF x <> ''] AS words
-            FROM p
+            SELECT *, octet_length(encode(piece)) AS size, sum(octet_length(encode(piece))) OVER o AS stop,
+                   [x FOR x IN string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+') IF x <> ''] AS words,
+                   sum(CASE WHEN right(piece, 1) IN (chr(10), chr(13)) THEN 1 ELSE 0 END) OVER o - CASE WHEN right(piece, 1) IN (chr(10), chr(13)) THEN 1 ELSE 0 END AS line
+            FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+        ), s AS (
+            SELECT doc_id, line, stop - size AS start, stop, array_to_string(words, ' ') AS norm,
+                   CAST(list_sum([1 + octet_length(encode(x)) // 15 FOR x IN words]) AS BIGINT) AS n,
+                   CAST(sum(list_sum([1 + octet_length(encode(x)) // 15 FOR x IN words])) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS cum,
+                   row_number() OVER (PARTITION BY doc_id ORDER BY k) AS j
+            FROM w WHERE len(words) > 0
+        ), l AS (
+            SELECT doc_id, line, min(j) AS a, max(j) AS b, min(cum - n) AS before, max(cum) AS cum FROM s GROUP BY doc_id, line
         ), u AS (
-            SELECT doc_id, k, piece, len(words) AS n, array_to_string(words, ' ') AS norm, octet_length(encode(piece)) AS size,
-                   sum(octet_length(encode(piece))) OVER (PARTITION BY doc_id ORDER BY k) AS stop
-            FROM w
+            SELECT x.doc_id, x.j AS a, y.j AS b FROM s x ASOF JOIN s y ON x.doc_id = y.doc_id AND y.cum >= x.cum - x.n + 20
+            UNION
+            SELECT x.doc_id, x.a, y.b FROM l x ASOF JOIN l y ON x.doc_id = y.doc_id AND y.cum >= x.before + 20
+        ), whole AS (
+            SELECT doc_id, list(norm ORDER BY j) AS norms, list(start ORDER BY j) AS starts, list(stop ORDER BY j) AS stops FROM s GROUP BY doc_id
         ), r AS (
-            SELECT *, n >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again FROM u
-        ), c AS (
-            SELECT *, sum(CASE WHEN n >= 5 AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS fresh,
-                   sum(CASE WHEN n < 5 THEN n ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS short
-            FROM r
+            SELECT doc_id, starts[a] AS start, stops[b] AS stop, row_number() OVER (PARTITION BY md5(array_to_string(norms[a:b], ' ')) ORDER BY doc_id, a, b) > 1 AS again
+            FROM u JOIN whole USING (doc_id)
         ), g AS (
-            SELECT *, CASE WHEN fresh = lag(fresh) OVER o AND short - lag(short) OVER o <= 8 THEN 0 ELSE 1 END AS opens
-            FROM c WHERE again WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+            SELECT doc_id, start, stop, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r WHERE again
         ), i AS (
-            SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM g
-        ), s AS (
-            SELECT doc_id, min(stop - size) AS a, max(stop) AS b FROM i GROUP BY doc_id, run HAVING sum(n) >= 20
+            SELECT *, sum(CASE WHEN start <= reached THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM g
+        ), c AS (
+            SELECT doc_id, min(start) AS a, max(stop) AS b FROM i GROUP BY doc_id, run
         ), t AS (
             SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed
-            FROM s GROUP BY doc_id
+            FROM c GROUP BY doc_id
         ), kept AS (
-            SELECT u.doc_id, string_agg(piece, '' ORDER BY k) FILTER (WHERE s.a IS NULL) AS text
-            FROM u LEFT JOIN s ON s.doc_id = u.doc_id AND stop - size >= a AND stop <= b AND size > 0 GROUP BY u.doc_id
+            SELECT w.doc_id, string_agg(piece, '' ORDER BY k) FILTER (WHERE c.a IS NULL) AS text
+            FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND stop - size >= a AND stop <= b AND size > 0 GROUP BY w.doc_id
         )
         SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(spans, '') AS spans,
                coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed

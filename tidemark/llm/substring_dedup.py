@@ -1,26 +1,27 @@
-"""Substring dedup by line hashing, with the sentences of lines as units.
-
-Method: a document is cut after line ends and after ., ! or ? with white space behind it, as
-passages are often set into a line. A unit is normalised (A-Z lowered, white space runs to
-one space, ends trimmed) and, if it has MIN_UNIT words or more, digested (128 bits of
-BLAKE2b). Digests are grouped globally; the occurrence that ranks first (smallest document,
-then earliest unit) stays and every later one is a repeat. Repeats that follow one another,
-with at most BRIDGE words of shorter units between two of them, form a run; a run whose
-repeats have at least ``min_words`` words is removed, so a long repeated passage goes whatever
-its lines, and a stray line or sentence that also occurs elsewhere stays. Removed spans are
-reported in bytes of the original text.
-
-Distribution: units leave the first pass as digests, never as text. Digests are counted with
-partial aggregation, so a line in a third of all documents is one row per task; only digests
-that occur twice go on, and they are joined back by a join that Spark can split when skewed.
-The digests are made again for that join rather than kept, as they would take more room than
-the texts. Only documents with a repeat are cut.
+"""Substring dedup by line and paragraph hashing.
+
+Method: a text is cut into lines, and lines into sentences (after ., ! or ? with blanks behind
+it), as passages are often set into a line. Units are paragraphs of whole lines and paragraphs
+of whole sentences: from each line, and from each sentence, the shortest run of whole lines,
+or of whole sentences, that holds ``min_words`` words. With ``min_words`` 1 every line and
+every sentence is a unit of its own. A word counts once, and once more for each further
+WORD_BYTES bytes, for scripts without spaces. Units are normalised (A-Z lowered, white space runs to one
+space, ends trimmed) and digested (128 bits of BLAKE2b). Digests are grouped globally; the
+occurrence that ranks first (smallest document, then earliest start) stays, and every later
+one is removed whole, whatever surrounds it. Nothing else goes: each byte removed lies in a
+unit that occurs earlier. Spans are reported in bytes of the original text.
+
+Distribution: texts are digested once, into a written table of 32 bytes a unit. Digests are
+counted with partial aggregation, so a line in a third of all documents is one row per task;
+only digests that occur twice go on, and they are joined back by a join that Spark can split
+when skewed. Only documents with a repeat are cut.
 
 Edge cases: null text stays null; an empty text has no units; null ids rank first; rows that
 repeat both id and text are one document: they are cut alike and are no repeats of each
-other; rows with equal ids and other texts rank by a hash of the text; an empty table gives an
-empty result; other columns keep their values, whatever their names, but one named
-removed_spans is replaced.
+other; rows with equal ids and other texts rank by a hash of the text; the last lines of a
+text that hold fewer than ``min_words`` words together start no unit, but may end one; an
+empty table gives an empty result; other columns keep their values, whatever their names, but
+one named removed_spans is replaced.
 """
 
 from __future__ import annotations
@@ -37,44 +38,61 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import in_parts
 from tidemark.llm.common import ship, stage, text_bytes
 
-MIN_WORDS, MIN_UNIT, BRIDGE = 20, 5, 8
+MIN_WORDS, WORD_BYTES = 20, 15
 _CUT = re.compile(rb"[\r\n]|[.!?][ \t]+")
 
 
-def units(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, end, words in lower case) of each unit; the white space after a unit is its own."""
-    at = 0
-    for m in _CUT.finditer(text):
-        yield at, m.end(), text[at : m.end()].lower().split()
-        at = m.end()
-    if at < len(text):
-        yield at, len(text), text[at:].lower().split()
+def _runs(starts: list[int], before: list[int], total: int, min_words: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of the shortest run of parts from each part that holds ``min_words`` words.
+
+    ``starts``: the first sentence of each part, and the end of the last one; ``before``: words before each sentence.
+    """
+    end = 0
+    for k, first in enumerate(starts[:-1]):
+        want = before[first] + min_words
+        end = max(end, k + 1)
+        while (before[starts[end]] if starts[end] < len(before) else total) < want:
+            end += 1
+            if end == len(starts):
+                return
+        yield first, starts[end]
+
+
+def units(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+    """(start, end, normalised text) of each unit by start, then end; white space behind a unit is its own."""
+    spans, norms, before, lines = [], [], [], []  # of the sentences that hold words
+    at = total = 0
+    new_line = True
+    for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+        words = text[at:end].lower().split()
+        if words:
+            if new_line:
+                lines.append(len(spans))
+                new_line = False
+            spans.append((at, end))
+            norms.append(b" ".join(words))
+            before.append(total)
+            total += len(words) if max(map(len, words)) < WORD_BYTES else sum(1 + len(w) // WORD_BYTES for w in words)
+        new_line = new_line or text[end - 1 : end] in (b"\n", b"\r")
+        at = end
+    n = len(spans)
+    found = {*_runs([*lines, n], before, total, min_words), *_runs(list(range(n + 1)), before, total, min_words)} if n else ()
+    return [(spans[a][0], spans[b - 1][1], b" ".join(norms[a:b])) for a, b in sorted(found)]
 
 
 def removed_spans(text: bytes, repeats: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeated units that hold at least ``min_words`` words."""
+    """Maximal spans covered by the units of these numbers."""
     spans: list[tuple[int, int]] = []
-    first = last = words = bridge = 0  # words: of the open run, 0 if there is none
-
-    def close() -> None:
-        if words >= min_words:
-            spans.append((first, last))
-
-    for k, (start, end, own) in enumerate(units(text)):
+    for k, (start, end, _) in enumerate(units(text, min_words)):
         if k in repeats:
-            if not words:
-                first = start
-            last, words, bridge = end, words + len(own), 0
-        elif words:
-            bridge += len(own)
-            if len(own) >= MIN_UNIT or bridge > BRIDGE:
-                close()
-                words = 0
-    close()
+            if spans and start <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+            else:
+                spans.append((start, end))
     return spans
 
 
-def _unit_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unit_batches(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Texts to their digested units; place: 32 bits of the text's hash and the number of the unit."""
     names = ["doc_id", "place", "hi", "lo"]
     blake = hashlib.blake2b
@@ -83,11 +101,11 @@ def _unit_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         places: list[int] = []
         digests: list[bytes] = []
         for doc_id, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            found = [(k, blake(b" ".join(w), digest_size=16).digest()) for k, (_, _, w) in enumerate(units(text)) if len(w) >= MIN_UNIT]
+            found = [blake(norm, digest_size=16).digest() for _, _, norm in units(text, min_words)]
             ids += [doc_id] * len(found)
             base = (key >> 32) << 32
-            places += [base | k for k, _ in found]
-            digests += [d for _, d in found]
+            places += range(base, base + len(found))
+            digests += found
         two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])]
         yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -110,11 +128,12 @@ def _cut_batches(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([*b.columns[2:], cut, pa.array(spans, kind)], names=[*b.schema.names[2:], "cut", "spans"])
 
 
-def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, repeats): the numbers of the units of a document that occur earlier; key: the high half of the text's hash."""
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), text_bytes(text_col).alias("t"))
-    found = rows.mapInArrow(_unit_batches, "doc_id long, place long, hi long, lo long")
+    found = rows.mapInArrow(lambda it: _unit_batches(it, min_words), "doc_id long, place long, hi long, lo long")
+    found = stage(spark, found, "units")
     place = F.struct("doc_id", "place")
     first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
     first = stage(spark, first, "repeated-units")
@@ -125,7 +144,7 @@ def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` cut, and removed_spans: array<struct<start,end>> in bytes of the original text."""
-    repeats = stage(spark, repeated_units(spark, docs, id_col, text_col), "repeats").select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "repeats")
+    repeats = stage(spark, repeated_units(spark, docs, min_words, id_col, text_col), "repeats").select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "repeats")
     names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
     flat = docs.toDF(*names)
     id_at, text_at = (names[docs.columns.index(c)] for c in (id_col, text_col))
