@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, suffix_array, suffix_dedup, token_scan, topk
 from tidemark.llm.components import components
@@ -214,35 +215,53 @@ def test_encode_and_decode_documents(spark, docs, tokenizers):
     assert bpe.encode_documents(spark, nothing(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 1 << 18])
-def test_token_counts(spark, docs, tokenizers, block):
-    library = tokenizers[bpe.VOCABULARY]
-    table = docs if block > 7 else edge(spark).where("doc_id <> 13 OR doc_id IS NULL")  # 13 holds a separator
-    got = token_scan.document_token_counts(spark, table, block=block).collect()
-    want = sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in pairs_of(table)), key=repr)
-    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == want
-
-
-def test_token_counts_of_texts_with_a_separator(spark):
+def library_counts(rows):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(bpe.vocabulary_path(bpe.VOCABULARY))
     library.encode_special_tokens = True  # strings of special tokens are text
+    return sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+def test_token_counts(spark, docs, block):
+    tables = [edge(spark).where("doc_id <> 12 OR doc_id IS NULL") if block == 1 else edge(spark)]  # 12 is long
+    tables += [docs] if block > 7 else []
+    for table in tables:
+        got = token_scan.document_token_counts(spark, table, block=block).collect()
+        assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == library_counts(pairs_of(table))
+    assert token_scan.document_token_counts(spark, nothing(spark), block=block).count() == 0
+
+
+def test_token_counts_of_texts_with_a_separator(spark):
     rows = [(i, t) for i, t, *_ in EDGE] + [(20, "<|endoftext|><|endoftext|>"), (21, "one more text after it")]
     table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one file
     for block in (7, 1 << 18):
         got = token_scan.document_token_counts(spark, table, block=block).collect()
-        want = sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
-        assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == want
+        assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == library_counts(rows)
+
+
+def test_built_files_are_flat(spark):
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(["alpha beta", "", "gamma delta epsilon"])], "doc_id long, text string").coalesce(1)
+    folder, names = token_scan.build_token_files(spark, table)
+    coder = bpe.load(bpe.vocabulary_path(bpe.VOCABULARY))
+    want = [i for r in table.collect() for i in [*np.frombuffer(coder.encode(r["text"]), "<u4"), token_scan.SEPARATOR]]
+    files = spark.read.format("binaryFile").load(folder).collect()
+    assert [np.frombuffer(r["content"], "<u2").tolist() for r in files] == [want]
+    assert [tuple(r) for r in names.collect()] == [(files[0]["path"].rpartition("/")[2], 0, [0, 1, 2])]
 
 
-def test_token_files(spark, tmp_path):
-    files = {"a": [5, 9, 0, 0, 7, 0], "b": [1, 2, 3], "c": [], "d": [0], "e": [4] * 25 + [0, 8]}
+@pytest.mark.parametrize("width", [2, 4])
+def test_token_files(spark, tmp_path, width):
+    top = 70_000 if width == 4 else 0  # ids beyond 16 bits
+    files = {"a": [5, 9, top, top, 7, top], "b": [1, 2, 3], "c": [], "d": [top], "e": [4] * 25 + [top, 8]}
     for name, ids in files.items():
-        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
+        (tmp_path / name).write_bytes(np.array(ids, f"<u{width}").tobytes() + b"x" * (name == "b"))
     for block in (1, 3, 4, 100):
-        rows = token_scan.count_tokens(spark, token_scan.read_token_files(spark, str(tmp_path), block), separator=0).collect()
-        got = sorted((r["file"][-1], r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in rows)
+        blocks = token_scan.token_file_blocks(spark, str(tmp_path), block, width)
+        assert blocks.where(F.col("length") > block * width).count() == 0
+        rows = token_scan.count_tokens(spark, blocks, top, width).collect()
+        got = sorted((r["file"], r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in rows)
         assert got == [
             ("a", 0, 0, 2, True), ("a", 1, 3, 0, True), ("a", 2, 4, 1, True), ("b", 0, 0, 3, False), ("d", 0, 0, 0, True), ("e", 0, 0, 25, True), ("e", 1, 26, 1, False),
         ]
