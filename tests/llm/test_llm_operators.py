@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -443,29 +444,45 @@ def _without(text, spans):
 
 
 def best_by_hand(rows, k, every):
-    ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
-        if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in ok if j != i)
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
-    return sorted(out)
+    for a, (i, q) in enumerate(ok):
+        if i is not None and i % every == 0:
+            scores = sorted((-sum(x * y for x, y in zip(q, v, strict=False)), j is None, j or 0) for b, (j, v) in enumerate(ok) if a != b)
+            out += [(i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(scores[:k])]
+    return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("block", "per"), [(8, 2), (4096, 256)])
-def test_top_k(spark, block, per):
+def vectors():
     rng = random.Random(4)
     rows = [(k, [rng.choice([-1.5, 0.0, 0.25, rng.gauss(0, 0.3)]) for _ in range(6)]) for k in range(60)]
-    rows += [(60, None), (61, []), (62, [1.0, None]), (63, [float("nan")] * 6), (64, [float("inf")] * 6), (None, [1.0] * 6), (65, rows[3][1]), (66, rows[3][1]), (67, [0.0] * 6), (70, [0.5, 0.25])]
-    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
+    rows += [(60, None), (61, []), (62, [1.0, None]), (63, [float("nan")] * 6), (64, [float("inf")] * 6), (None, [1.0] * 6), (None, [0.5] * 6)]
+    return [*rows, (65, rows[3][1]), (66, rows[3][1]), (67, [0.0] * 6), (70, [0.5, 0.25]), (80, []), (20, rows[20][1]), (30, rows[7][1])]
+
+
+@pytest.mark.parametrize(("block", "per", "group"), [(8, 2, 3), (8, 3, 100), (4096, 256, 16)])
+def test_top_k(spark, block, per, group):
+    table = spark.createDataFrame([(*r, 1) for r in vectors()], "vec_id long, embedding array<float>, score int")
     seen = [(r["vec_id"], r["embedding"]) for r in table.collect()]
-    got = sorted(map(tuple, topk.top_k(spark, table, every=10, block=block, queries_per_block=per).collect()))
+    got = sorted(map(tuple, topk.top_k(spark, table, every=10, block=block, queries_per_block=per, per_group=group).collect()), key=repr)
     assert got == best_by_hand(seen, 10, 10)
     few = topk.top_k(spark, table.where("vec_id in (0, 1, 2)"), every=10).collect()
     assert [r["rank"] for r in few] == [1, 2]
     assert topk.top_k(spark, table.limit(0)).count() == 0
 
 
+def test_each_block_is_indexed_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(topk, "ImpactBlock", lambda ids, matrix, make=topk.ImpactBlock: built.append(len(ids)) or make(ids, matrix))
+    rng = np.random.default_rng(8)
+    blocks = [topk._Vectors(list(range(9 * n, 9 * n + 9)), list(range(9 * n, 9 * n + 9)), rng.integers(-50, 50, (9, 4)).tolist()) for n in range(4)]
+    whole = [pa.RecordBatch.from_arrays([pa.array([x]) for x in (0, kind, n)] + b.batch().columns, names=["g", "kind", "number", *b.batch().schema.names]) for kind in (0, 1) for n, b in enumerate(blocks)]
+    found = [r for b in topk._search_batches(iter(whole), 3) for r in b.to_pylist()]
+    assert built == [9] * 4 and len(found) == 4 * 9 * 3
+    rows = [(int(i), m.tolist()) for b in blocks for i, m in zip(b.ids, b.matrix / 1024, strict=True)]
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in found) == sorted((i, j, s) for i, _, j, s in best_by_hand(rows, 3, 1))
+
+
 def test_scan_stops_on_proof():
     rng = np.random.default_rng(3)
     matrix = np.floor(1024 * rng.standard_normal((4000, 24)) * np.array([4, 2] + [0.05] * 22)).astype(np.int64)

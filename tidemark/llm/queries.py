@@ -137,15 +137,14 @@ ORACLE = {
     """,
     "op9_topk": """
         WITH v AS (
-            SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+            SELECT row_number() OVER () AS uid, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(embedding) > 0
-              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+            WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+            SELECT q.uid, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_dot_product(q.e, c.e), 0) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.uid <> q.uid
         ), r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+            SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
