@@ -135,6 +135,31 @@ ORACLE = {
                h AS text_sha256
         FROM d
     """,
+    "op6_sharding": r"""
+        WITH RECURSIVE steps(k, v, i) AS (
+            SELECT range, range, 0 FROM range(256)
+            UNION ALL SELECT k, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, i + 1 FROM steps WHERE i < 8
+        ), crc AS (
+            SELECT list(v ORDER BY k) AS t FROM steps WHERE i = 8
+        ), d AS (
+            SELECT doc_id, coalesce('=' || source, 'null') AS stratum, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), c AS (
+            SELECT doc_id, stratum, CAST(n + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(n)]),
+                   lambda s, b: xor(s // 256, t[xor(s % 256, b) + 1])), 4294967295) AS text_crc32
+            FROM d, crc
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('interleave-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_crc32 || ':' || size), doc_id, text_crc32, size) - 1 AS rank,
+                   count(*) OVER (PARTITION BY stratum) AS of_source, CAST(CAST('0x' || substr(md5('interleave-1:' || stratum), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS phase
+            FROM c
+        ), o AS (
+            SELECT *, row_number() OVER (ORDER BY (rank + phase) / of_source, stratum, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS total FROM r
+        ), s AS (
+            SELECT *, pos * 8 // total AS shard FROM o
+        )
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * total + 7) // 8 AS BIGINT) AS slot,
+               CAST(NULL AS INTEGER) AS grown_shard, stratum
+        FROM s
+    """,
     "op9_topk": """
         WITH v AS (
             SELECT row_number() OVER () AS uid, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
