@@ -16,8 +16,8 @@ spanning forest, so a key of m fingerprints sends on at most m - 1 links, never
 Hot keys: a key shared by more than ``hot`` fingerprints is not given to one task. Its
 fingerprints take an exact second way: two fingerprints lie within ``distance`` bits if and
 only if some value lies within ceil(distance/2) bits of the one and floor(distance/2) bits
-of the other, so each is spread to all values within half the distance, and the minimum over
-each value links them, aggregated before the shuffle.
+of the other, so each is spread to all values within the greater half. All that a value holds
+are linked to the least of those within the lesser half, aggregated before the shuffle.
 
 Edge cases: null text counts as empty, all documents without words link at fingerprint
 zero; null ids take part and are never the smallest id unless a class has no other; repeated
@@ -157,12 +157,12 @@ def hamming_links(spark: SparkSession, fps: DataFrame, distance: int = 4, blocks
     links = cold.mapInArrow(lambda it: _link_batches(it, distance), "u long, v long")
     heated = members.where(F.col("n") > hot).select("fp").distinct()
     if shared.where(F.col("n") > hot).limit(1).count():
-        # the two halves differ for an odd distance; the wider one serves both and the distance is checked below
-        spread = F.explode(F.array(*[F.lit(m) for m in _half_masks((distance + 1) // 2)])).alias("mask")
-        near = heated.select("fp", spread).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))
-        if distance % 2:
-            raise ValueError("the way for hot keys takes an even distance")
-        low = stage(spark, near.groupBy("value").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "m"), "hot-values")
+        masks = _half_masks((distance + 1) // 2)
+        spread = F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(m.bit_count() <= distance // 2 if m >= 0 else (m + (1 << 64)).bit_count() <= distance // 2).alias("close")) for m in masks])).alias("x")
+        near = heated.select("fp", spread).select("fp", F.col("fp").bitwiseXOR(F.col("x.mask")).alias("value"), "x.close")
+        # a value within the lesser half of one and the greater half of another proves the two linked
+        low = near.groupBy("value").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("m"), F.count(F.lit(1)).alias("n"))
+        low = stage(spark, low.where("n > 1 AND m IS NOT NULL").select("value", "m"), "hot-values")
         links = links.union(near.join(low, "value").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v")).distinct())
     return links
 
