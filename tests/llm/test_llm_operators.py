@@ -130,6 +130,23 @@ def test_simhash(spark, docs, hot):
         assert got == simhash_by_hand(pairs_of(t))
 
 
+@pytest.mark.parametrize(("distance", "hot"), [(1, 1), (3, 1), (5, 4096)])
+def test_hamming_links_of_any_distance(spark, distance, hot):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (1 << 64) - 1 for b in base for _ in range(30)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    links = simhash.hamming_links(spark, spark.createDataFrame([(x,) for x in signed], "fp long"), distance, hot=hot)
+    roots = dict(map(tuple, components(spark, links).collect()))
+    group = {x: x for x in signed}
+    for a, x in zip(fps, signed, strict=True):
+        for b, y in zip(fps, signed, strict=True):
+            if (a ^ b).bit_count() <= distance and group[x] != group[y]:
+                low, high = sorted((group[x], group[y]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert {x: roots.get(x, x) for x in signed} == group
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.simhash_groups(spark, nothing(spark)).count() == 0
 
@@ -172,6 +189,19 @@ def test_shards_keep_a_hot_source_in_proportion(spark):
     assert all(len(c) == 8 and max(c) - min(c) <= 2 for c in per.values())
 
 
+def test_shards_spread_null_ids_and_copies(spark):
+    table = spark.range(3000).selectExpr("cast(null as long) as doc_id", "if(id < 1500, concat('text ', id), 'same') as text", "'a' as source")
+    rows = sharding.interleave_shards(spark, table).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(375)) for x in slots.values()) and len(slots) == 8
+    buckets = spark.createDataFrame([(r["text_crc32"], r["size"]) for r in rows], "c long, s long").distinct()
+    named = F.concat_ws(":", F.lit(sharding.SEED), F.lit("null"), "c", "s")
+    most = buckets.groupBy(F.floor(sharding._fraction(F.md5(named)) * 54)).count().agg({"count": "max"}).first()[0]
+    assert most < 60  # 1501 kinds of rows over sqrt(3000) buckets
+
+
 # tokens
 
 
@@ -353,6 +383,30 @@ def test_mixture_proportions(spark, docs):
     assert all(value >= counts @ np.log(np.array([p, 1 - p]) @ two) - 1e-3 for p in np.linspace(0.01, 0.99, 99))
 
 
+def test_language_sets_against_all_subsets(spark, docs):
+    """The search finds the set of least penalised likelihood among all sets of four languages, or one within a hair of it."""
+    from itertools import combinations
+
+    model = lang_id.fit(spark, docs)
+    texts = defaultdict(list)
+    for r in docs.where("length(text) > 1200 AND lang IS NOT NULL").orderBy("doc_id").collect():
+        texts[r["lang"]].append(r["text"][:1000])
+    names = sorted(texts)
+    assert len(model.languages) == 4
+    for k in range(12):
+        mixed = " ".join(texts[x][k % len(texts[x])][: 300 + 200 * j] for j, x in enumerate(names[: 1 + k % 4])).encode()
+        at, counts = lang_id.features(mixed)
+        table, counts = model.likelihood[:, at], counts.astype(float)
+        cost = {}
+        for size in range(1, 5):
+            for some in combinations(range(4), size):
+                _, value = lang_id.mix(np.full(size, 1 / size), table[list(some)], counts, steps=2000)
+                cost[some] = value - (size - 1) * lang_id.PENALTY * np.log(counts.sum())
+        found = tuple(sorted(x for x, _ in lang_id.infer(model.likelihood, mixed)))
+        best = max(cost, key=cost.get)
+        assert found == best or cost[best] - cost[found] < 0.01, (k, found, best, cost)
+
+
 # substring dedup
 
 
