@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, suffix_array, suffix_dedup, token_scan, topk
+from tidemark.llm import bpe, common, exact_dedup, lang_id, packing, sharding, simhash, substring_dedup, suffix_array, suffix_dedup, token_scan, topk
 from tidemark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +65,18 @@ def pairs_of(docs):
     return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 
 
+# staged tables
+
+
+def test_staged_tables_are_cleared(spark):
+    made = common.stage(spark, spark.range(3), "three")
+    assert made.count() == 3 and common.work_dir(spark).startswith(common.shared_dir(spark))
+    folder = Path(common.work_dir(spark).removeprefix("file://"))
+    assert list(folder.glob("three-*"))
+    common.clear(spark)
+    assert not folder.exists()
+
+
 # exact dedup
 
 

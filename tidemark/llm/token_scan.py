@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
-from tidemark.llm.common import shared_dir, ship, stage, text_bytes
+from tidemark.llm.common import ship, stage, text_bytes, work_dir
 
 BLOCK = 1 << 18
 SEPARATOR = 50256
@@ -78,7 +78,7 @@ def build_token_files(
     """Writes flat files; returns their folder, and the names (file, first, doc_ids): the documents from number ``first`` on, in order."""
     ship(spark)
     path = path or bpe.vocabulary_path(bpe.VOCABULARY)
-    folder, width = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}", width_of(path)
+    folder, width = f"{work_dir(spark)}/token-files-{uuid.uuid4().hex}", width_of(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
     return folder, stage(spark, rows.mapInArrow(lambda it: _file_batches(it, path, folder, separator, width), _NAMES), "token-names")
 
