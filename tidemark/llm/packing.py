@@ -57,6 +57,8 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.letter, self.kind = ("H", "<u2") if self.size <= 1 << 16 else ("I", "<u4")
         self.cut = regex.compile(self.CUT).findall
         self.plain = regex.compile("[\x00-\u024f]*").fullmatch
         self.stand_in = {b: c for c, b in byte_alphabet().items()}
@@ -68,7 +70,7 @@ class WordTokens:
         if not (word.isascii() and word.isprintable()):
             word = "".join(map(self.stand_in.__getitem__, word.encode("utf-8")))
         ids = [t.id for t in self.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
         # the usual chunks: letters, with or without one mark after them
@@ -79,10 +81,10 @@ class WordTokens:
         text = as_text(chunk)
         if self.plain(text) and "<|" not in text:
             return b"".join([self.words[w] for w in self.cut(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        """Ids without the end id, as little-endian unsigned 16-bit integers."""
+        """Ids without the end id, as little-endian unsigned integers of type ``kind``."""
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
@@ -92,18 +94,18 @@ def load(path: str) -> WordTokens:
 
 
 @lru_cache(maxsize=2)
-def _projection(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _projection(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    ids = np.arange(1 << 16, dtype=np.uint64)
+    ids = np.arange(size, dtype=np.uint64)
     mixed = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
     slot = (mixed % np.uint64(DIMS_HASHED)).astype(np.int64)
     sign = np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0)
     return slot, sign, rng.standard_normal((DIMS_HASHED, DIMS))
 
 
-def grid_cells(all_ids: list[np.ndarray], seed: int = SEED) -> np.ndarray:
+def grid_cells(all_ids: list[np.ndarray], seed: int = SEED, size: int = 1 << 16) -> np.ndarray:
     """The grid cell (DIMS coordinates of BITS bits) of each document's ids."""
-    slot, sign, matrix = _projection(seed)
+    slot, sign, matrix = _projection(seed, size)
     vectors = np.array([np.bincount(slot[i], weights=sign[i], minlength=DIMS_HASHED) for i in all_ids]).reshape(-1, DIMS_HASHED)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return np.minimum((1 << BITS) - 1, (1 << BITS) / (1 + np.exp(-1.702 * (vectors @ matrix)))).astype(np.uint64)
@@ -133,12 +135,14 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _token_batches(batches: Iterable[pa.RecordBatch], path: str, seed: int) -> Iterator[pa.RecordBatch]:
-    coder, end = load(path), np.array([END_ID], "<u2").tobytes()
+    coder = load(path)
+    end = np.array([END_ID], coder.kind).tobytes()
     for b in in_parts(batches):
         ids = [coder.encode(t) + end for t in b.column(1).to_pylist()]
-        keys = hilbert_key(grid_cells([np.frombuffer(x, "<u2") for x in ids], seed))
+        arrays = [np.frombuffer(x, coder.kind) for x in ids]
+        keys = hilbert_key(grid_cells(arrays, seed, max(coder.size, 1 << 16)))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(keys.astype(np.int64)), pa.array(ids, pa.binary())], names=["doc_id", "n", "key", "ids"]
+            [b.column(0), pa.array([len(x) for x in arrays], pa.int64()), pa.array(keys.astype(np.int64)), pa.array(ids, pa.binary())], names=["doc_id", "n", "key", "ids"]
         )
 
 
@@ -153,12 +157,12 @@ def _running_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(n), part, np.int64)), pa.array(ends - n)], names=["uid", "n", "part", "before"])
 
 
-def _piece_batches(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _piece_batches(batches: Iterable[pa.RecordBatch], length: int, kind: str) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     for b in in_parts(batches):
         rows: list[tuple] = []
         for doc_id, raw, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            ids = np.frombuffer(raw, "<u2").astype("<u4")
+            ids = np.frombuffer(raw, kind).astype("<u4")
             start = 0
             while start < len(ids):
                 sequence, offset = divmod(at + start, length)
@@ -174,6 +178,7 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(spark)
     path = path or vocabulary_path(VOCABULARY)
+    kind = load(path).kind
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
     tokens = rows.mapInArrow(lambda it: _token_batches(it, path, seed), "doc_id long, n long, key long, ids binary")
     tokens = stage(spark, tokens.withColumn("uid", F.monotonically_increasing_id()), "pack-tokens")
@@ -186,4 +191,4 @@ def pack(
     places = ranged.join(F.broadcast(totals), "part").select("uid", (F.col("base") + F.col("before")).alias("at"))
     placed = tokens.select("uid", "doc_id", "ids").join(places.hint("merge"), "uid").select("doc_id", "ids", "at")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(lambda it: _piece_batches(it, length), schema)
+    return placed.mapInArrow(lambda it: _piece_batches(it, length, kind), schema)
