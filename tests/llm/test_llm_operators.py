@@ -317,7 +317,7 @@ def test_token_files(spark, tmp_path, width):
 def test_word_ids_are_the_library(tokenizers):
     mine, library = packing.load(bpe.vocabulary_path(packing.VOCABULARY)), tokenizers[packing.VOCABULARY]
     for text in odd_texts():
-        assert np.frombuffer(mine.encode(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+        assert np.frombuffer(mine.encode(text.encode()), mine.kind).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
 def test_hilbert_curve():
@@ -349,6 +349,37 @@ def test_packing(spark, docs, tokenizers, length):
     assert packing.pack(spark, nothing(spark)).count() == 0
 
 
+def test_neighbours_in_the_order_are_alike(spark, docs):
+    """Documents next to each other share more words than documents far from each other."""
+    texts = dict(r for r in pairs_of(docs) if r[1])
+    rows = packing.pack(spark, docs).where("start = 0").orderBy("sequence_id", "offset").collect()
+    words = [set(texts[r["doc_id"]].lower().split()) for r in rows if r["doc_id"] in texts]
+    alike = lambda a, b: len(a & b) / max(1, len(a | b))
+    half = len(words) // 2
+    near = [alike(a, b) for a, b in zip(words, words[1:], strict=False)]
+    far = [alike(words[k], words[(k + half) % len(words)]) for k in range(len(words))]
+    assert np.mean(near) > 1.5 * np.mean(far)
+
+
+def test_ids_of_a_large_vocabulary(spark, tmp_path):
+    import json
+
+    with open(bpe.vocabulary_path(packing.VOCABULARY), encoding="utf-8") as f:
+        spec = json.load(f)
+    token = "zzyzx</w>"
+    assert token not in spec["model"]["vocab"]
+    left = next(t for t in ("zzy", "zz") if t in spec["model"]["vocab"])
+    right = token.removeprefix(left)
+    spec["model"]["vocab"] |= {right: 69_999} if right not in spec["model"]["vocab"] else {}
+    spec["model"]["vocab"][token] = 70_000
+    (tmp_path / "large.json").write_text(json.dumps(spec))
+    coder = packing.load(str(tmp_path / "large.json"))
+    assert coder.kind == "<u4" and coder.size == 70_001
+    assert np.frombuffer(coder.encode(b"the sea \xe6\x97\xa5"), "<u4").tolist() == coder.tokenizer.encode("the sea 日", add_special_tokens=False).ids
+    table = spark.createDataFrame([(1, "the sea"), (2, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["length"]) for r in packing.pack(spark, table, path=str(tmp_path / "large.json")).collect()) == [(1, 3), (2, 1)]
+
+
 # language ID
 
 

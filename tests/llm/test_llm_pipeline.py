@@ -1,12 +1,20 @@
 """The pipeline stage by stage, and the registered queries against their SQL."""
 
 import sys
+import zlib
+from collections import defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 sys.path.insert(0, "/root/repo")
 import corpus_pipeline  # noqa: E402
-from tidemark.llm import exact_dedup, packing, queries, simhash, substring_dedup  # noqa: E402
+from tidemark.llm import bpe, packing, queries  # noqa: E402
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from test_llm_operators import passages_by_hand, simhash_by_hand  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 NAMES = "doc_id long, text string, lang string, source string, n_chars long, kept int"
@@ -63,16 +71,56 @@ def test_stages_on_nothing(spark, tmp_path):
         assert docs.count() == 0
 
 
-def test_run_equals_its_parts(spark, tmp_path):
+def kept_by_hand(rows):
+    """(doc_id, text) of what the stages before packing keep, by plain Python over all rows: none of the operators is called."""
+    import unicodedata
+
+    rows = [(i, t) for i, t in rows if t and any(unicodedata.category(c)[0] == "L" for c in t)]
+    best = {}
+    for i, t in rows:  # of equal texts the largest id
+        key = t.encode().lower()
+        if key not in best or (i is not None, i or 0) > (best[key][0] is not None, best[key][0] or 0):
+            best[key] = (i, t)
+    rows = list(best.values())
+    out = [(i, t) for (i, t), (_, _, lowest) in zip(rows, simhash_in_order(rows), strict=True) if i is None or i == lowest]
+    cut = passages_by_hand(out, 20)
+    return [(i, cut.get((i, t), t)) for i, t in out]
+
+
+def simhash_in_order(rows):
+    """What simhash_by_hand tells, in the order of the rows; ids are distinct here."""
+    by_id = {r[0]: r for r in simhash_by_hand(rows)}
+    return [by_id[i] for i, _ in rows]
+
+
+def test_run_against_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    made = exact_dedup.exact_dedup(spark, docs)
-    ids = {r["doc_id"] for r in made.where("kept").collect()}
-    docs = written(spark, docs.where(docs["doc_id"].isin(list(ids))), tmp_path, "a")
-    classes = simhash.simhash_groups(spark, docs)
-    ids = {r["component_id"] for r in classes.collect()}
-    docs = written(spark, docs.where(docs["doc_id"].isin(list(ids))), tmp_path, "b")
-    docs = written(spark, substring_dedup.substring_dedup(spark, docs), tmp_path, "c")
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, packing.pack(spark, docs).collect()))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert len({i for i, _ in rows}) == len(rows)
+    kept = kept_by_hand(rows)
+    assert len(kept) < len(rows)
+    library = Tokenizer.from_file(bpe.vocabulary_path(packing.VOCABULARY))
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for i, t in kept}
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in pieces} == set(ids)
+    sequences, starts = defaultdict(list), defaultdict(list)
+    for r in pieces:
+        own = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert len(own) == r["length"] and zlib.crc32(own.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        starts[r["doc_id"]].append((r["start"], r["length"]))
+    for spans, whole in [(sorted(x), 2048 if k < max(sequences) else None) for k, x in sequences.items()] + [(sorted(x), len(ids[i])) for i, x in starts.items()]:
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+        assert whole is None or sum(spans[-1]) == whole
+
+
+def test_stages_on_very_long_texts(spark, tmp_path):
+    long = " ".join(f"word{k} and" for k in range(60_000))
+    rows = [(1, long + " first", "en", "a", 1, 1), (2, long + " second", "en", "a", 1, 1), (3, "a short clean text", "en", "a", 1, 1)]
+    docs = spark.createDataFrame(rows, NAMES)
+    for k, (_, step) in enumerate(corpus_pipeline.STAGES):
+        docs = written(spark, step(spark, docs, ""), tmp_path, str(k))
+        assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == ({1, 2, 3} if k < 2 else {1, 3})
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
