@@ -149,3 +149,34 @@ def test_alphabet(spark):
     assert rows.where("c = '7'").select(vocabulary.lookup(F.col("c"), vocabulary.symbol_ids())).first()[0] == 767
     with pytest.raises(Exception, match="alphabet"):
         rows.select(vocabulary.lookup(F.col("c"), dense)).collect()
+
+
+@pytest.mark.parametrize(("value", "fits"), [(9999999.999, True), (-9999999.999, True), (1e7, False), (12345678.25, False), (-3e9, False), (float("inf"), False), (float("nan"), True)])
+def test_numbers_beyond_the_range_fail(spark, value, fits):
+    settings_ = digits.SerializerSettings()
+    made = spark.createDataFrame([([value],)], "x array<double>").select(digits.serialize_array(F.col("x"), settings_))
+    if fits:
+        assert made.first()[0]
+    else:
+        with pytest.raises(Exception, match="beyond max_val"):
+            made.collect()
+
+
+def test_negative_numbers_need_a_sign(spark):
+    settings_ = digits.SerializerSettings(signed=False)
+    rows = spark.createDataFrame([([1.5, 2.0],)], "x array<double>")
+    back = digits.deserialize_array(digits.serialize_array(F.col("x"), settings_), settings_)
+    assert np.allclose(rows.select(back).first()[0], [1.5, 2.0], atol=1e-3)
+    with pytest.raises(Exception, match="negative without a sign"):
+        rows.select(digits.serialize_array(F.transform("x", lambda x: -x), settings_)).collect()
+
+
+def test_reading_a_part_of_a_serialized_array(spark):
+    settings_ = digits.SerializerSettings(half_bin_correction=False)
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([],)], "x array<double>")
+    text = digits.serialize_array(F.col("x"), settings_)
+    read = lambda **more: [r[0] for r in rows.select(digits.deserialize_array(text, settings_, **more)).collect()]
+    assert read() == [[1.0, 2.0, 3.0, 4.0], []]
+    assert read(ignore_last=True) == [[1.0, 2.0, 3.0], []]
+    assert read(steps=2) == [[1.0, 2.0], []] and read(steps=9) == read()
+    assert read(ignore_last=True, steps=3) == [[1.0, 2.0, 3.0], []]

@@ -1,13 +1,18 @@
 """Operators against NumPy one-liners and worked numbers."""
 
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import cascade, codec, entropy, metrics, predictors, scaling, windows
+from tidemark.operators import cascade, codec, entropy, metrics, predictors, scaling, text_codec, tokens, windows
 from tidemark.sources import container, readers, writers
 
+SF = "/root/testdata/sf0.001"
+
 
 def series(spark, *values):
     rows = [(k, p, v) for k, s in enumerate(values) for p, v in enumerate(s)]
@@ -133,8 +138,8 @@ def test_successors_and_ranks(spark):
 def test_text_codecs(spark, head, step):
     texts = ["", "x", "the cat and the dog and the cat " * 6, "Fehler: ü 日本 🎉 " * 9]
     rows = spark.createDataFrame(list(enumerate(texts)), "series_id int, text string")
-    coded = codec.encode_text(rows, head, step=step)
-    for back in (codec.decode_text(coded, head, step), codec.decode_ranks(coded, head, step)):
+    coded = text_codec.encode_text(rows, head, step=step)
+    for back in (text_codec.decode_text(coded, head, step), text_codec.decode_ranks(coded, head, step)):
         assert [r["text"] for r in back.orderBy("series_id").collect()] == texts
     r = coded.where("series_id = 2").first()
     assert len(r["ranks"]) == len(r["probs"]) == len(texts[2]) - head and all(0 < p <= 1 for p in r["probs"])
@@ -195,3 +200,227 @@ def test_container_rows(spark):
     rows = spark.createDataFrame([(1, 1, bytearray(b"xyz")), (1, 0, bytearray(b"")), (2, 0, bytearray(b"q" * 200))], "series_id int, stream_id int, payload binary")
     back = container.unpack(container.pack(rows)).collect()
     assert sorted((r["series_id"], r["stream_id"], bytes(r["payload"])) for r in back) == [(1, 0, b""), (1, 1, b"xyz"), (2, 0, b"q" * 200)]
+
+
+# sizes by a coder written for the tests
+
+
+def coded_bits(intervals):
+    """Bits of an arithmetic coder of 32-bit state over (low, high, total) of each symbol, the closing bit included."""
+    low, high, sent, waiting = 0, (1 << 32) - 1, 0, 0
+    for a, b, total in intervals:
+        width = high - low + 1
+        low, high = low + a * width // total, low + b * width // total - 1
+        while True:
+            if high >> 31 == low >> 31:
+                sent, waiting = sent + 1 + waiting, 0
+                low, high = low & 0x7FFFFFFF, high & 0x7FFFFFFF
+            elif low >> 30 == 1 and high >> 30 == 2:
+                waiting += 1
+                low, high = low - (1 << 30), high - (1 << 30)
+            else:
+                break
+            low, high = low << 1, high << 1 | 1
+    return sent + 1
+
+
+def method_intervals(methods, size=3):
+    freq = [methods.count(k) + 1 for k in range(size)]
+    return [(sum(freq[:m]), sum(freq[: m + 1]), sum(freq)) for m in methods]
+
+
+def xor_bits(values):
+    size = 64
+    for a, b in zip(values, values[1:], strict=False):
+        x = (a ^ b) & (1 << 64) - 1
+        size += 13 + len(f"{x:b}".rstrip("0")) if x else 1
+    return size if values else 0
+
+
+def test_sizes_of_coded_series(spark):
+    from tidemark.plans.catalogue import QUERIES
+
+    rows = {}
+    for r in QUERIES["hybrid_rows_3tier"](spark, SF).orderBy("series_id", "pos").collect():
+        rows.setdefault(r["series_id"], []).append((r["method"], r["residual"]))
+    want = {k: coded_bits(method_intervals([m for m, _ in x])) for k, x in rows.items()}
+    got = {r["series_id"]: (r["n"], r["n_bytes"], r["n_bits"]) for r in QUERIES["ac_method_sizes"](spark, SF).collect()}
+    assert got == {k: (len(rows[k]), -(-n // 8), n) for k, n in want.items()}
+    for r in QUERIES["compression_metrics"](spark, SF).collect():
+        x = rows[r["series_id"]]
+        payload = 8 * (-(-want[r["series_id"]] // 8) + -(-xor_bits([v for _, v in x]) // 8))
+        file_bits = 64 * (16 + len(x))
+        assert (r["file_bits"], r["payload_bits"], r["total_bits"]) == (file_bits, payload, payload + 64 * (16 + 3 + 1))
+        assert np.isclose(r["payload_ratio"], payload / file_bits) and np.isclose(r["total_ratio"], r["total_bits"] / file_bits)
+
+
+def quantised_by_hand(probabilities):
+    total, out = 0.0, [0]
+    for p in probabilities:
+        total += p * 10_000_000 + 1
+        out.append(int(total))
+    return out
+
+
+def test_sizes_of_coded_texts(spark):
+    from tidemark.plans.catalogue import QUERIES
+
+    texts = {f"{r['conv_id']}:{r['turn']}": r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").where("text IS NOT NULL").collect()}
+    for r in QUERIES["ac_text_metrics"](spark, SF).collect():
+        text = texts[r["series_id"]]
+        letters = sorted(set(text))
+        flat = quantised_by_hand([1 / len(letters)] * len(letters)) if text else [0]
+        intervals = [(flat[letters.index(c)], flat[letters.index(c) + 1], flat[-1]) for c in text[:64]]
+        for at in range(64, len(text)):
+            seen = [b for a, b in zip(text[:64], text[1:64], strict=False) if a == text[at - 1]]
+            table = quantised_by_hand([(seen.count(c) + 1) / (len(seen) + len(letters)) for c in letters])
+            k = letters.index(text[at])
+            intervals.append((table[k], table[k + 1], table[-1]))
+        size = len("".join(f"{b:08b}" for b in text.encode()).rstrip("0"))
+        assert (r["file_bits"], r["ac_bits"]) == (size, coded_bits(intervals) if text else 0)
+        assert not text or np.isclose(r["ac_ratio"], r["ac_bits"] / size)
+
+
+# plug-ins; workers get the classes of this file by value
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Ends:
+    """The last value plus the first of its context, for windows of any step."""
+
+    def __init__(self, step):
+        self.step = step
+
+    def predict(self, contexts):
+        return np.repeat(contexts[:, :1] + contexts[:, -1:], self.step, axis=1) / 2 + np.arange(self.step)
+
+
+@pytest.mark.parametrize(("length", "step", "head"), [(4, 1, 4), (4, 2, 4), (8, 4, 12)])
+def test_plug_in_third_tier(spark, length, step, head):
+    rng = np.random.default_rng(step)
+    # after the spike the last value and the line are far off, the middle of first and last is not
+    all_values = [(rng.integers(-5, 6, 61) + 1000 * (np.arange(61) == 30)).tolist(), [3] * 20, [4, 5]]
+    s = series(spark, *all_values)
+    forecasts = predictors.model_forecasts(s, lambda: Ends(step), length, step)
+    rows = cascade.hybrid_rows(s, head, forecasts=forecasts)
+    assert rows.where("method = 2").count() > 0
+    for r in rows.where("series_id = 0 AND method = 2").collect():
+        win, k = divmod(r["pos"] - length, step)
+        context = all_values[0][win * step : win * step + length]
+        assert r["v"] - r["residual"] == int(np.rint((context[0] + context[-1]) / 2 + k))
+    coded = codec.encode_hybrid(rows, s.where(F.col("pos") < head))
+    assert points(codec.decode_hybrid(coded, factory=lambda: Ends(step), length=length, step=step)) == dict(enumerate(all_values))
+
+
+def test_float_residuals(spark):
+    rows = [(1, k, v) for k, v in enumerate([1.25, 2.5, 0.1, 7.375, 2.0, 9.99])]
+    s = spark.createDataFrame(rows, "series_id int, pos bigint, v double")
+    made = predictors.window_residuals(predictors.predict_windows(windows.strided(s, 2, 1), lambda: predictors.LastValue(1)), 2, 1, decimals=1)
+    assert [r["residual"] for r in made.orderBy("pos").collect()] == [-2.4, 7.3, -5.4, 8.0]
+
+
+class Alphabet:
+    """Half of all weight on the symbol after the last one, whatever came before."""
+
+    memory = None
+
+    def __init__(self, size, head):
+        self.size = size
+
+    def probabilities(self, context):
+        row = np.full(self.size, 0.5 / self.size)
+        row[(context[-1] + 1) % self.size] += 0.5
+        return row
+
+
+@pytest.mark.parametrize(("head", "step"), [(2, 1), (8, 4)])
+def test_plug_in_text_model(spark, head, step):
+    texts = ["", "q", "abcdefghijklmnopqrstuvwxyz" * 4, "the cat sat on a mat" * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "series_id int, text string")
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    coded = text_codec.encode_text(rows, head, letters, step, factory=Alphabet)
+    for back in (text_codec.decode_text(coded, head, step, factory=Alphabet), text_codec.decode_ranks(coded, head, step, factory=Alphabet)):
+        assert [r["text"] for r in back.orderBy("series_id").collect()] == texts
+    sizes = {r["series_id"]: len(r["payload"]) for r in coded.collect()}
+    assert sizes[2] < 104 * np.log2(27) / 8 / 2  # far below a uniform code, as the model knows the order
+
+
+def test_token_ids_under_a_shared_model(spark):
+    rows = spark.createDataFrame([(1, [5, 70_000, 5, 5, 0, 80_000] * 9), (2, []), (3, [80_000])], "series_id int, ids array<int>")
+    model = text_codec.SharedFrequencies({5: 1_000_000, 0: 4, 70_000: 9})
+    coded = text_codec.encode_tokens(rows, 80_001, model, head=4)
+    back = text_codec.decode_tokens(coded, 80_001, model, head=4)
+    assert {r["series_id"]: r["ids"] for r in back.collect()} == {r["series_id"]: r["ids"] for r in rows.collect()}
+
+
+class Bytes:
+    size = 256
+
+    def encode(self, text):
+        return list(text.encode())
+
+    def decode(self, ids):
+        return bytes(ids).decode()
+
+
+def test_plug_in_tokenizer(spark):
+    texts = spark.createDataFrame([(1, "naïve 日本"), (2, ""), (3, None)], "series_id int, text string")
+    ids = tokens.tokenise(texts, Bytes)
+    assert {r["series_id"]: r["ids"] for r in ids.collect()} == {1: list("naïve 日本".encode()), 2: []}
+    assert {r["series_id"]: r["text"] for r in tokens.detokenise(ids, Bytes).collect()} == {1: "naïve 日本", 2: ""}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 8])
+def test_text_streams(spark, batch):
+    texts = ["", "x", "ab" * 8, "a b" * 40, "ü日本🎉" * 30, "z" * 17]
+    rows = spark.createDataFrame(list(enumerate(texts)), "series_id int, text string")
+    parts = text_codec.cut_text(rows, 8, 4, batch, fill="~")
+    for r in parts.collect():
+        whole = texts[r["series_id"]["series_id"]]
+        n = max(0, -(-(len(whole) - 8) // 4))
+        per = n // batch if batch > 1 else n
+        last = 0 if not per or batch == 1 else batch if n % batch else batch - 1
+        filled = whole.ljust(4 * n + 8, "~") if n else whole
+        k = r["series_id"]["stream_id"]
+        assert r["text"] == (filled[4 * per * k : 4 * per * (k + 1)] if k < last else filled[4 * per * last :])
+    coded = text_codec.encode_text(parts, head=8, step=4)
+    sizes = rows.select("series_id", F.length("text").alias("n"))
+    back = text_codec.join_text(text_codec.decode_text(coded, head=8, step=4), sizes)
+    assert [r["text"] for r in back.orderBy("series_id").collect()] == texts
+
+
+# files and tables of any size
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    want = {}
+    for name, n in (("a.txt", 3000), ("b.txt", 1), ("c.txt", 700)):
+        values = [str(k * 7919 % 100_003) + "x" * (k % 5) for k in range(n)]
+        (tmp_path / name).write_text("\n".join(values) + ("\n" if n > 1 else ""))
+        want |= {(name, k): v for k, v in enumerate(values)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.split_lines(spark, str(tmp_path))
+        splits = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        got = [((r["path"].rpartition("/")[2], r["pos"]), r["line"]) for r in rows.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits > 4 and len(got) == len(want) and dict(got) == want
+
+
+def test_tables_are_broadcast_only_if_small(spark):
+    table = spark.range(50).selectExpr("cast(id as string) as ctx", "'t' as token", "cast(id as int) as rank")
+    assert "broadcast" in entropy.small(table)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in entropy.small(table, 49)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_run_metrics(spark, tmp_path):
+    s = series(spark, [5] * 40, list(range(30)))
+    coded, encoding = metrics.timed(codec.encode_hybrid(cascade.hybrid_rows(s, 16, 3), s.where("pos < 16")), str(tmp_path / "coded"))
+    back, decoding = metrics.timed(codec.decode_hybrid(coded), str(tmp_path / "decoded"))
+    assert points(back) == {0: [5] * 40, 1: list(range(30))}
+    writers.json_lines(metrics.run_metrics(coded, encoding, decoding), str(tmp_path / "metrics"))
+    r = readers.metrics(spark, str(tmp_path / "metrics")).first()
+    assert r["File_bits"] == 70 * 64 and 0 < r["Compression_ratio"] < 1 and r["Encoding_time"] > 0 and r["Decoding_time"] > 0

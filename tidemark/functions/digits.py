@@ -48,13 +48,27 @@ def places(s: SerializerSettings) -> int:
 
 
 def number_to_digits(x: Column, s: SerializerSettings) -> tuple[Column, Column]:
-    """(sign, digits array) of the number cut to ``prec`` places after the point; digits are exact on the scaled integer."""
-    total = F.floor(F.abs(x) * float(s.base**s.prec) + 1e-6).cast("bigint")
+    """(sign, digits array) of the number cut to ``prec`` places after the point; a missing one has zeros.
+
+    A millionth of the last place is added before the cut, so that 3.4 at three places gives
+    3 4 0 0 although the nearest double lies below it. A number beyond ``max_val``, or one
+    whose digits do not fit, fails the query, and so does a negative one where there is no sign.
+    """
     n = places(s) + s.prec
+    known = F.when(F.isnan(x) | x.isNull(), 0.0).otherwise(x)
+    scaled = F.floor(F.abs(known) * float(s.base**s.prec) + 1e-6)
+    beyond = (F.abs(known) > s.max_val) | (F.abs(known) * float(s.base**s.prec) + 1e-6 >= float(s.base**n))
+    total = F.when(beyond, _failed("beyond max_val: ", x)).otherwise(scaled.cast("bigint"))
+    if not s.signed:
+        total = F.when(known < 0, _failed("negative without a sign: ", x)).otherwise(total)
     digits = F.array(*[F.floor(total / F.lit(s.base ** (n - 1 - k))).cast("bigint") % s.base for k in range(n)])
     return F.when(x < 0, -1).otherwise(1), F.transform(digits, lambda d: d.cast("int"))
 
 
+def _failed(why: str, x: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(why), x.cast("string"))).cast("bigint")
+
+
 def digits_to_number(sign: Column, digits: Column, s: SerializerSettings) -> Column:
     whole = F.aggregate(digits, F.lit(0.0), lambda a, d: a * s.base + d)
     half = 0.5 if s.half_bin_correction else 0.0
@@ -87,9 +101,16 @@ def serialize_array(values: Column, s: SerializerSettings) -> Column:
     return F.concat_ws("", F.transform(values, lambda x: serialize_number(x, s)))
 
 
-def deserialize_array(text: Column, s: SerializerSettings) -> Column:
-    """Numbers of a serialized array; what can't be read becomes null, empty pieces are left out."""
+def deserialize_array(text: Column, s: SerializerSettings, ignore_last: bool = False, steps: int | None = None) -> Column:
+    """Numbers of a serialized array; what can't be read becomes null, empty pieces are left out.
+
+    ``ignore_last`` leaves out the last number, which may be cut short; ``steps`` reads so many at most.
+    """
     pieces = F.filter(F.split(text, _literal(s.time_sep)), lambda p: F.length(F.trim(p)) > 0)
+    if ignore_last:
+        pieces = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    if steps is not None:
+        pieces = F.slice(pieces, 1, steps)
 
     def read(piece: Column) -> Column:
         bare = F.regexp_replace(piece, _literal(s.bit_sep), "") if s.bit_sep else piece

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from tidemark.functions.bits import BitReader
-
 MASK = (1 << 64) - 1
 
 
@@ -51,11 +49,16 @@ def encode(words: list[int]) -> tuple[bytes, int]:
 def decode(payload: bytes, count: int) -> list[int]:
     if not count:
         return []
-    words, source = [int.from_bytes(payload[:8], "little")], BitReader(payload[8:])
+    word, at = int.from_bytes(payload[:8], "little"), 0
+    words, body = [word], payload[8:]
+    # the whole string at once, and zeros past the end
+    bits = f"{int.from_bytes(body, 'big'):0{8 * len(body)}b}" + "0" * (count + 78) if body else "0" * (count + 78)
     while len(words) < count:
-        x = 0
-        if source.bit():
-            leading, size = source.get(6), source.get(6) + 1
-            x = source.get(size) << (64 - leading - size)
-        words.append(words[-1] ^ x)
+        if bits[at] == "0":
+            at += 1
+        else:
+            leading, size = int(bits[at + 1 : at + 7], 2), int(bits[at + 7 : at + 13], 2) + 1
+            word ^= int(bits[at + 13 : at + 13 + size], 2) << (64 - leading - size)
+            at += 13 + size
+        words.append(word)
     return words

@@ -39,9 +39,15 @@ def choose(errors: list[Column], threshold: Column) -> Column:
     return F.coalesce(within, smallest).cast("int")
 
 
-def hybrid_rows(series: DataFrame, head: int, tiers: int = 2, mean_length: int = 16) -> DataFrame:
-    """(series_id, pos, v, method, residual) of the coded points."""
-    predictions = [naive(), linear(), window_mean(mean_length)][:tiers]
+def hybrid_rows(series: DataFrame, head: int, tiers: int = 2, mean_length: int = 16, forecasts: DataFrame | None = None) -> DataFrame:
+    """(series_id, pos, v, method, residual) of the coded points.
+
+    The third tier is the window mean, or a plug-in's ``forecasts`` (``predictors.model_forecasts``); a
+    point without a forecast leaves it out.
+    """
+    if forecasts is not None:
+        series, tiers = series.select("series_id", "pos", "v").join(forecasts, ["series_id", "pos"], "left"), 3
+    predictions = [naive(), linear(), window_mean(mean_length) if forecasts is None else F.col("forecast")][:tiers]
     names = [f"p{k}" for k in range(tiers)]
     rows = series.select("series_id", "pos", "v", *[p.alias(n) for p, n in zip(predictions, names, strict=True)]).where(F.col("pos") >= head)
     sigma = sigma_of_window(F.col("v") - F.col("p0"))

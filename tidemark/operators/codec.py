@@ -106,17 +106,32 @@ def encode_hybrid(coded_rows: DataFrame, heads: DataFrame, methods: int = METHOD
     return by_row(both, ["series_id", "head"], ["method", "residual"], one, "n bigint, freqs array<bigint>, method_payload binary, residual_payload binary")
 
 
-def decode_hybrid(coded: DataFrame, mean_length: int = 16) -> DataFrame:
-    """(series_id, pos, v): each point from its method's forecast over the points decoded before it."""
+def decode_hybrid(coded: DataFrame, mean_length: int = 16, factory: Callable[[], Predictor] | None = None, length: int = 16, step: int = 1) -> DataFrame:
+    """(series_id, pos, v): each point from its method's forecast over the points decoded before it.
+
+    With a plug-in the third tier is its forecast for the window of ``step`` points that a point lies in, from the
+    ``length`` points before that window (``predictors.model_forecasts``).
+    """
 
     def one(head: list[int], n: int, freqs: list[int], method_payload: bytes, residual_payload: bytes):
-        out = list(head)
+        out, model, known = list(head), factory() if factory else None, {}
+
+        def of_model() -> int:
+            win, k = divmod(len(out) - length, step)
+            if win not in known:
+                known.clear()
+                context = np.array([out[win * step : win * step + length]], np.float64)
+                known[win] = np.rint(model.predict(context)[0]).astype(np.int64).tolist()
+            return known[win][k]
+
         methods = arith.decode(method_payload, arith.smoothed([f - 1 for f in freqs]), n) if n else []
         for method, residual in zip(methods, xor.ints_of_words(xor.decode(residual_payload, n)).tolist(), strict=True):
             if method == 0:
                 forecast = out[-1]
             elif method == 1:
                 forecast = 2 * out[-1] - out[-2]
+            elif model:
+                forecast = of_model()
             else:
                 forecast = round(sum(out[-mean_length:]) / mean_length)
             out.append(forecast + residual)
@@ -149,92 +164,6 @@ def exploded(rows: DataFrame, column: str = "value", key: str = "series_id") ->
     return values.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-class HeadModel:
-    """An order-1 character model with counts plus one, trained on the head, which the decoder knows before anything else."""
-
-    def __init__(self, letters: list[str], head: str):
-        self.letters, self.counts, self.tables = letters, {}, {}
-        for a, b in zip(head, head[1:], strict=False):
-            row = self.counts.setdefault(a, {})
-            row[b] = row.get(b, 0) + 1
-
-    def table(self, context: str) -> tuple[list[int], list[int]]:
-        """(cumulative table, symbols by share, the largest first, ties to the smaller) after a context."""
-        if context not in self.tables:
-            seen = self.counts.get(context, {})
-            total = sum(seen.values()) + len(self.letters)
-            model = arith.quantised([(seen.get(c, 0) + 1) / total for c in self.letters])
-            shares = [y - x for x, y in zip(model, model[1:], strict=False)]
-            self.tables[context] = model, sorted(range(len(shares)), key=lambda j: (-shares[j], j))
-        return self.tables[context]
-
-    def block(self, context: str, step: int) -> Iterator[tuple[list[int], list[int]]]:
-        """Tables of the next ``step`` symbols: only the first follows the truth, the others the model's own best symbol."""
-        for _ in range(step):
-            model, order = self.table(context)
-            yield model, order
-            context = self.letters[order[0]]
-
-
-def encode_text(texts: DataFrame, head: int = 256, alphabet: str | None = None, step: int = 1, key: str = "series_id", text: str = "text") -> DataFrame:
-    """(key, n, symbols, payload, ranks, probs): a head coded uniformly, the rest under the order-1 model of the head.
-
-    ``symbols`` is the alphabet (that of the text itself by default). Ranks and probabilities
-    of the coded symbols come with every row.
-    """
-
-    def one(t: str):
-        letters = sorted(alphabet) if alphabet else sorted(set(t))
-        index = {c: k for k, c in enumerate(letters)}
-        if not t:
-            return 0, "".join(letters), b"", [], []
-        coder, flat = arith.Encoder(), arith.uniform(len(letters))
-        for c in t[:head]:
-            coder.write(flat, index[c])
-        source, ranks, probs = HeadModel(letters, t[:head]), [], []
-        for at in range(head, len(t), step):
-            for c, (model, order) in zip(t[at : at + step], source.block(t[at - 1], step), strict=False):
-                k = index[c]
-                coder.write(model, k)
-                ranks.append(order.index(k))
-                probs.append((model[k + 1] - model[k]) / model[-1])
-        return len(t), "".join(letters), coder.finish(), ranks, probs
-
-    return by_row(texts, [key], [text], one, "n bigint, symbols string, payload binary, ranks array<int>, probs array<double>")
-
-
-def _read_text(n: int, symbols: str, payload: bytes, head: int, step: int, pick: Callable) -> str:
-    """The head from the payload, the rest symbol by symbol from ``pick(decoder, model, order)``."""
-    if not n:
-        return ""
-    decoder, flat = arith.Decoder(payload), arith.uniform(len(symbols))
-    out = [symbols[decoder.read(flat)] for _ in range(min(head, n))]
-    source = HeadModel(list(symbols), "".join(out))
-    while len(out) < n:
-        for model, order in source.block(out[-1], min(step, n - len(out))):
-            out.append(symbols[pick(decoder, model, order)])
-    return "".join(out)
-
-
-def decode_text(coded: DataFrame, head: int = 256, step: int = 1, key: str = "series_id") -> DataFrame:
-    """(key, text)."""
-
-    def one(n: int, symbols: str, payload: bytes):
-        return (_read_text(n, symbols, payload, head, step, lambda decoder, model, order: decoder.read(model)),)
-
-    return by_row(coded, [key], ["n", "symbols", "payload"], one, "text string")
-
-
-def decode_ranks(coded: DataFrame, head: int = 256, step: int = 1, key: str = "series_id") -> DataFrame:
-    """(key, text) from the coded head and the ranks of the rest."""
-
-    def one(n: int, symbols: str, payload: bytes, ranks: list[int]):
-        left = iter(ranks)
-        return (_read_text(n, symbols, payload, head, step, lambda decoder, model, order: order[next(left)]),)
-
-    return by_row(coded, [key], ["n", "symbols", "payload", "ranks"], one, "text string")
-
-
 def xor_layout(residual: Column, before: Column) -> dict[str, Column]:
     """Leading and trailing zeros and significant bits of the XOR of neighbours, as column expressions."""
     x = residual.bitwiseXOR(before)

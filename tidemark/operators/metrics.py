@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,21 @@ def text_ratios(coded: DataFrame, originals: DataFrame, key: str) -> DataFrame:
     return bits.withColumn("ac_ratio", F.col("ac_bits") / F.col("file_bits"))
 
 
+def timed(df: DataFrame, path: str) -> tuple[DataFrame, float]:
+    """Writes a table, and returns it read back with the wall seconds that took."""
+    began = time.perf_counter()
+    df.write.mode("overwrite").parquet(path)
+    took = time.perf_counter() - began
+    return df.sparkSession.read.schema(df.schema).parquet(path), took
+
+
+def run_metrics(coded: DataFrame, encoding: float, decoding: float) -> DataFrame:
+    """One row of sizes and times of a run over hybrid containers, as the metrics reader takes it."""
+    sums = hybrid_ratios(coded).agg(F.sum("file_bits").cast("double").alias("File_bits"), F.sum("payload_bits").cast("double").alias("Compressed_bits"))
+    ratio = (F.col("Compressed_bits") / F.col("File_bits")).alias("Compression_ratio")
+    return sums.select("File_bits", "Compressed_bits", ratio, F.lit(encoding).alias("Encoding_time"), F.lit(decoding).alias("Decoding_time"))
+
+
 def verify(original: DataFrame, decoded: DataFrame) -> DataFrame:
     """(n, different, max_abs, mean_abs): one row; missing positions on either side count as different."""
     a = original.select("series_id", "pos", F.col("v").alias("a"))

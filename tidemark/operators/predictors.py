@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from tidemark.functions.rounding import half_even
+from tidemark.operators.windows import padded, strided
 from tidemark.shipping import ship
 
 
@@ -84,9 +86,17 @@ def predict_windows(windows: DataFrame, factory: Callable[[], Predictor]) -> Dat
     return windows.mapInArrow(run, schema)
 
 
-def window_residuals(predicted: DataFrame, length: int, step: int) -> DataFrame:
-    """(series_id, pos, residual): target less forecast, as integers."""
+def window_residuals(predicted: DataFrame, length: int, step: int, decimals: int | None = None) -> DataFrame:
+    """(series_id, pos, residual): target less forecast, as integers, or as floats rounded half to even to ``decimals``."""
     pairs = F.posexplode(F.arrays_zip("tgt", "pred")).alias("k", "x")
     rows = predicted.select("series_id", "win", pairs)
-    residual = F.col("x.tgt") - F.rint(F.col("x.pred")).cast("bigint")
+    whole = F.col("x.tgt") - F.rint(F.col("x.pred")).cast("bigint")
+    residual = whole if decimals is None else half_even(F.col("x.tgt") - F.col("x.pred"), decimals)
     return rows.select("series_id", (F.col("win") * step + length + F.col("k")).alias("pos"), residual.alias("residual"))
+
+
+def model_forecasts(series: DataFrame, factory: Callable[[], Predictor], length: int, step: int) -> DataFrame:
+    """(series_id, pos, forecast) of a plug-in for the points of whole windows, the last one filled up; forecasts are integers, half to even."""
+    predicted = predict_windows(strided(padded(series, length, step), length, step), factory)
+    rows = predicted.select("series_id", "win", F.posexplode("pred").alias("k", "x"))
+    return rows.select("series_id", (F.col("win") * step + length + F.col("k")).alias("pos"), F.rint("x").cast("bigint").alias("forecast"))

@@ -6,7 +6,7 @@ targets. A series of n values has ceil((n - L)/S) windows; the last may reach pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,12 +32,16 @@ def padded(series: DataFrame, length: int, step: int, fill: int = 0) -> DataFram
 
 
 def strided(series: DataFrame, length: int, step: int) -> DataFrame:
-    """(series_id, win, ctx, tgt) over a padded series, from one ordered frame per window."""
-    order = Window.partitionBy("series_id").orderBy("pos").rowsBetween(-length, step - 1)
-    framed = series.select("series_id", "pos", F.collect_list("v").over(order).alias("w"))
-    starts = framed.where((F.col("pos") >= length) & ((F.col("pos") - length) % step == 0) & (F.size("w") == length + step))
-    win = F.floor((F.col("pos") - length) / step).cast("bigint")
-    return starts.select("series_id", win.alias("win"), F.slice("w", 1, length).alias("ctx"), F.slice("w", length + 1, step).alias("tgt"))
+    """(series_id, win, ctx, tgt) over a padded series: slices of one array per series, which a long series is cut for first."""
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])
+    rows = series.groupBy("series_id").agg(whole.alias("w")).where(F.size("w") >= length + step)
+    last = F.floor((F.size("w") - length) / step).cast("bigint") - 1
+
+    def cut(k: Column) -> Column:
+        at = (k * step + 1).cast("int")
+        return F.struct(k.alias("win"), F.slice("w", at, F.lit(length)).alias("ctx"), F.slice("w", at + length, F.lit(step)).alias("tgt"))
+
+    return rows.select("series_id", F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), last), cut)))
 
 
 def streams(n_windows: Column, batch: int) -> dict[str, Column]:

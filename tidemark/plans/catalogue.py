@@ -7,14 +7,16 @@ originals.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits, digits, rounding, varint, vocabulary
-from tidemark.operators import cascade, codec, entropy, metrics, positions, predictors, scaling, windows
+from tidemark.operators import cascade, codec, entropy, metrics, positions, predictors, scaling, text_codec, tokens, windows
 from tidemark.operators.series import events_by_type, events_by_user, orders_by_customer, table
 from tidemark.sources import container, readers, writers
+from tidemark.shipping import new_path
 from tidemark.streaming import residuals
 
 HEAD, L, S, BATCH = 16, 16, 4, 8
@@ -231,6 +233,44 @@ def model_window_residuals(spark, sf_dir):
     return predictors.window_residuals(predictors.predict_windows(made, lambda: predictors.WindowMean(S)), L, S)
 
 
+@query(
+    f"""WITH {_USER}, l AS (SELECT series_id, CAST(ceil((count(*) - 16) / 4.0) AS BIGINT) AS windows FROM s GROUP BY series_id HAVING count(*) > 16),
+    w AS (SELECT series_id, unnest(range(windows)) AS win FROM l), x AS (
+        SELECT w.series_id, win, a.value AS last FROM w JOIN s a ON a.series_id = w.series_id AND a.pos = win * 4 + 15
+    ) SELECT x.series_id, s.pos, round_even((s.value - last) * 100, 0) / 100 AS residual FROM x JOIN s ON s.series_id = x.series_id AND s.pos BETWEEN win * 4 + 16 AND win * 4 + 19"""
+)
+def model_float_residuals(spark, sf_dir):
+    rows = events_by_user(spark, sf_dir).select("series_id", "pos", F.col("value").alias("v"))
+    made = predictors.predict_windows(windows.strided(windows.padded(rows, L, S), L, S), lambda: predictors.LastValue(S))
+    return windows.stripped(predictors.window_residuals(made, L, S, decimals=2), windows.layout(rows, L, S))
+
+
+def _plugged(spark, sf_dir) -> DataFrame:
+    rows = events_by_user(spark, sf_dir)
+    return cascade.hybrid_rows(rows, HEAD, forecasts=predictors.model_forecasts(rows, lambda: predictors.WindowMean(S), L, S))
+
+
+@query(
+    f"""WITH {_CASCADE}, {_PADDED}, w AS (SELECT series_id, unnest(range(windows)) AS win FROM l),
+    m AS (SELECT w.series_id, win, CAST(round_even(avg(v), 0) AS BIGINT) AS f FROM w JOIN pad ON pad.series_id = w.series_id AND pad.pos BETWEEN win * 4 AND win * 4 + 15 GROUP BY ALL),
+    x AS (SELECT t.series_id, t.pos, t.v, thr, p0, p1, f FROM t JOIN m ON m.series_id = t.series_id AND m.win = (t.pos - 16) // 4),
+    h AS (
+        SELECT *, CASE WHEN abs(v - p0) <= thr THEN 0 WHEN abs(v - p1) <= thr THEN 1 WHEN abs(v - f) <= thr THEN 2
+                  WHEN abs(v - p0) <= least(abs(v - p1), abs(v - f)) THEN 0 WHEN abs(v - p1) <= abs(v - f) THEN 1 ELSE 2 END AS method
+        FROM x
+    )
+    SELECT series_id, pos, v, method, v - CASE method WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE f END AS residual FROM h"""
+)
+def hybrid_plugin_rows(spark, sf_dir):
+    return _plugged(spark, sf_dir)
+
+
+@query(f"WITH {_USER} SELECT series_id, pos, v FROM s")
+def hybrid_plugin_roundtrip(spark, sf_dir):
+    heads = events_by_user(spark, sf_dir).where(F.col("pos") < HEAD)
+    return codec.decode_hybrid(codec.encode_hybrid(_plugged(spark, sf_dir), heads), factory=lambda: predictors.WindowMean(S), length=L, step=S)
+
+
 @query(f"WITH {_USER} SELECT series_id, pos, v FROM s")
 def strip_padding(spark, sf_dir):
     rows = events_by_user(spark, sf_dir)
@@ -514,14 +554,17 @@ def rank_inverse(spark, sf_dir):
 
 @query(
     f"""WITH {_PAIRS}, p AS (SELECT ctx, token, (n + 1) / sum(n + 1) OVER (PARTITION BY ctx) AS prob FROM n),
-    c AS (SELECT ctx, token, sum(prob * 10000000 + 1) OVER (PARTITION BY ctx ORDER BY token) AS c FROM p)
-    SELECT ctx, token, CAST(round(c / 10) AS BIGINT) AS cum FROM c"""
+    c AS (SELECT ctx, token, list(prob * 10000000 + 1) OVER (PARTITION BY ctx ORDER BY token) AS parts FROM p)
+    SELECT ctx, token, CAST(floor(list_reduce(parts, lambda a, x: a + x)) AS BIGINT) AS cum FROM c"""
 )
 def quantised_cumul(spark, sf_dir):
-    # the sum depends on its order in the last places, so the comparison is on tens
-    probs = entropy.smoothed(entropy.successor_counts(_pairs(spark, sf_dir)))
-    order = Window.partitionBy("ctx").orderBy("token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return probs.select("ctx", "token", F.round(F.sum(F.col("prob") * entropy.SCALE + 1).over(order) / 10).cast("bigint").alias("cum"))
+    return entropy.cumulative(entropy.smoothed(entropy.successor_counts(_pairs(spark, sf_dir)))).select("ctx", "token", "cum")
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(floor(k * (10000000 / 13.0::DOUBLE + 1)) AS BIGINT) AS cum FROM range(1, 14) AS t(k)")
+def uniform_cumul(spark, sf_dir):
+    size = len(vocabulary.SYMBOLS)
+    return spark.range(1).select(F.posexplode(entropy.uniform_cumulative(size)).alias("k", "cum")).select((F.col("k") + 1).alias("k"), "cum")
 
 
 @query(
@@ -537,20 +580,20 @@ def ac_text_ideal_bits(spark, sf_dir):
 
 @query(f"WITH {_NUMERIC} SELECT series_id, text FROM q")
 def ac_text_roundtrip(spark, sf_dir):
-    coded = codec.encode_text(_numeric_text(spark, sf_dir), head=HEAD, alphabet=vocabulary.SYMBOLS)
-    return codec.decode_text(coded, head=HEAD)
+    coded = text_codec.encode_text(_numeric_text(spark, sf_dir), head=HEAD, alphabet=vocabulary.SYMBOLS)
+    return text_codec.decode_text(coded, head=HEAD)
 
 
 @query(f"WITH {_NUMERIC} SELECT series_id, text FROM q")
 def rank_decode_roundtrip(spark, sf_dir):
-    coded = codec.encode_text(_numeric_text(spark, sf_dir), head=HEAD, alphabet=vocabulary.SYMBOLS)
-    return codec.decode_ranks(coded, head=HEAD)
+    coded = text_codec.encode_text(_numeric_text(spark, sf_dir), head=HEAD, alphabet=vocabulary.SYMBOLS)
+    return text_codec.decode_ranks(coded, head=HEAD)
 
 
 @query(f"WITH {_NUMERIC} SELECT series_id, text FROM q")
 def ac_text_steps_roundtrip(spark, sf_dir):
-    coded = codec.encode_text(_numeric_text(spark, sf_dir), head=HEAD, alphabet=vocabulary.SYMBOLS, step=S)
-    return codec.decode_text(coded, head=HEAD, step=S)
+    coded = text_codec.encode_text(_numeric_text(spark, sf_dir), head=HEAD, alphabet=vocabulary.SYMBOLS, step=S)
+    return text_codec.decode_text(coded, head=HEAD, step=S)
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -560,13 +603,67 @@ def _turns(spark, sf_dir) -> DataFrame:
 
 @query("SELECT concat_ws(':', conv_id, turn) AS series_id, text FROM conversations WHERE text IS NOT NULL")
 def ac_any_text_roundtrip(spark, sf_dir):
-    return codec.decode_text(codec.encode_text(_turns(spark, sf_dir), head=64), head=64)
+    return text_codec.decode_text(text_codec.encode_text(_turns(spark, sf_dir), head=64), head=64)
+
+
+def _text_streams(spark, sf_dir) -> DataFrame:
+    return text_codec.cut_text(_numeric_text(spark, sf_dir), L, S, BATCH, fill=vocabulary.SYMBOLS[-1])
+
+
+@query(
+    f"""WITH {_NUMERIC}, l AS (SELECT series_id, text, length(text) AS n, CAST(greatest(0, ceil((length(text) - 16) / 4.0)) AS BIGINT) AS windows FROM q),
+    c AS (SELECT *, windows // 8 AS per, CASE WHEN windows < 8 THEN 0 WHEN windows % 8 > 0 THEN 8 ELSE 7 END AS streams,
+                 CASE WHEN windows > 0 THEN rpad(text, CAST(windows * 4 + 16 AS INTEGER), '.') ELSE text END AS filled FROM l),
+    r AS (SELECT *, unnest(range(streams + 1)) AS k FROM c)
+    SELECT series_id, CAST(k AS BIGINT) AS stream_id, CASE WHEN k < streams THEN substr(filled, k * per * 4 + 1, per * 4) ELSE substr(filled, k * per * 4 + 1) END AS text FROM r"""
+)
+def text_streams(spark, sf_dir):
+    return _text_streams(spark, sf_dir).select("series_id.series_id", "series_id.stream_id", "text")
+
+
+@query(f"WITH {_NUMERIC} SELECT series_id, text FROM q")
+def ac_text_streams_roundtrip(spark, sf_dir):
+    # streams lie in a container; how long each is follows from the length of the text alone
+    texts, parts = _numeric_text(spark, sf_dir), _text_streams(spark, sf_dir)
+    coded = text_codec.encode_text(parts, head=L, alphabet=vocabulary.SYMBOLS, step=S)
+    packed = container.pack(coded.select("series_id.series_id", F.col("series_id.stream_id").cast("int").alias("stream_id"), "payload"))
+    sizes = texts.select("series_id", F.length("text").alias("n"))
+    laid = sizes.select("series_id", *[c.alias(k) for k, c in text_codec.text_layout(F.col("n"), L, S, BATCH).items()])
+    whole = F.when(F.col("windows") > 0, F.col("windows") * S + L)
+    back = container.unpack(packed).join(laid, "series_id").join(sizes, "series_id")
+    final = F.coalesce(whole, F.col("n")) - F.col("streams") * F.col("per_stream") * S
+    size = F.when(F.col("stream_id") < F.col("streams"), F.col("per_stream") * S).otherwise(final).cast("bigint")
+    rows = back.select(F.struct("series_id", "stream_id").alias("series_id"), size.alias("n"), F.lit("".join(sorted(vocabulary.SYMBOLS))).alias("symbols"), "payload")
+    return text_codec.join_text(text_codec.decode_text(rows, head=L, step=S), sizes)
+
+
+def _byte_tokens():
+    import public_tokenizers
+
+    return partial(tokens.library, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def subword_roundtrip(spark, sf_dir):
+    factory = _byte_tokens()
+    return tokens.detokenise(tokens.tokenise(table(spark, sf_dir, "documents"), factory, "doc_id"), factory, "doc_id")
+
+
+@query("SELECT concat_ws(':', conv_id, turn) AS series_id, text FROM conversations WHERE text IS NOT NULL")
+def ac_tokens_roundtrip(spark, sf_dir):
+    factory = _byte_tokens()
+    rows = tokens.tokenise(_turns(spark, sf_dir), factory)
+    # one number per token of the vocabulary
+    counts = rows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
+    size, model = factory().size, text_codec.SharedFrequencies(dict(zip(counts["id"], counts["n"], strict=True)))
+    coded = text_codec.encode_tokens(rows, size, model, head=16)
+    return tokens.detokenise(text_codec.decode_tokens(coded, size, model, head=16), factory)
 
 
 @query()
 def ac_text_metrics(spark, sf_dir):
     rows = _turns(spark, sf_dir)
-    return metrics.text_ratios(codec.encode_text(rows, head=64), rows, "series_id")
+    return metrics.text_ratios(text_codec.encode_text(rows, head=64), rows, "series_id")
 
 
 # digits, varints, sizes
@@ -593,6 +690,15 @@ def digits_deserialize(spark, sf_dir):
     return values.select("series_id", F.col("pos").cast("bigint").alias("pos"), whole.cast("bigint").alias("v"))
 
 
+@query(f"WITH {_USER}, m AS (SELECT series_id, max(pos) AS last FROM s GROUP BY series_id) SELECT series_id, pos, v FROM s JOIN m USING (series_id) WHERE pos < least(last, 60)")
+def digits_deserialize_steps(spark, sf_dir):
+    rows = codec.gathered(events_by_user(spark, sf_dir), "value")
+    back = digits.deserialize_array(digits.serialize_array(F.col("value"), _DIGITS), _DIGITS, ignore_last=True, steps=60)
+    values = rows.select("series_id", F.posexplode(back).alias("pos", "x"))
+    whole = F.signum("x") * F.floor(F.abs(F.col("x")) * 100)
+    return values.select("series_id", F.col("pos").cast("bigint").alias("pos"), whole.cast("bigint").alias("v"))
+
+
 @query(f"WITH {_USER}, k AS (SELECT unnest(range(9)) AS k) SELECT series_id, pos, CAST(k AS INTEGER) AS k, CAST((abs(v) // CAST(pow(10, 8 - k) AS BIGINT)) % 10 AS INTEGER) AS digit FROM s, k")
 def digit_matrix(spark, sf_dir):
     _, found = digits.number_to_digits(F.col("value"), _DIGITS)
@@ -694,6 +800,46 @@ def csv_lines(spark, sf_dir):
     return events_by_user(spark, sf_dir).select("series_id", "pos", writers.formatted(F.col("v"), None).alias("line"), writers.formatted(F.col("value"), 2).alias("decimal_line"))
 
 
+def _written(spark, sf_dir, decimals: int | None) -> str:
+    """Real files: a folder for each event type, one value per line."""
+    path = new_path(spark, "series-files")
+    rows = _long(spark, sf_dir).withColumn("value", F.col("v") if decimals is None else F.col("v") / 10.0**decimals)
+    writers.series_lines(rows, path, ["series_id"], decimals)
+    return path
+
+
+def _of_folder(df: DataFrame) -> DataFrame:
+    return df.select(F.regexp_extract("path", "series_id=([^/]*)", 1).alias("series_id"), "pos", "value")
+
+
+@query(f"WITH {_TYPE} SELECT series_id, pos, value FROM s")
+def csv_files(spark, sf_dir):
+    return _of_folder(readers.csv_series(spark, f"{_written(spark, sf_dir, 2)}/series_id=*", readers.FLOAT))
+
+
+@query(f"WITH {_TYPE} SELECT series_id, pos, v AS value FROM s")
+def int_files(spark, sf_dir):
+    return _of_folder(readers.int_lines(spark, f"{_written(spark, sf_dir, None)}/series_id=*"))
+
+
+@query(f"WITH {_TYPE} SELECT series_id, count(*) AS n_lines, sum(length(CAST(v AS VARCHAR)) + 1)::BIGINT AS n_chars FROM s GROUP BY series_id")
+def whole_files(spark, sf_dir):
+    texts = readers.whole_texts(spark, f"{_written(spark, sf_dir, None)}/series_id=*")
+    sizes = texts.select(F.regexp_extract("path", "series_id=([^/]*)", 1).alias("series_id"), F.length("text").cast("bigint").alias("n_chars"), (F.size(F.split("text", "\n")) - 1).cast("bigint").alias("n_lines"))
+    return sizes.groupBy("series_id").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_chars").alias("n_chars"))
+
+
+@query(f"WITH {_USER} SELECT CAST(count(*) * 64 AS DOUBLE) AS file_bits, true AS smaller, true AS timed, CAST(0 AS BIGINT) AS different FROM s")
+def run_metrics(spark, sf_dir):
+    path = new_path(spark, "run")
+    coded, encoding = metrics.timed(_hybrid(spark, sf_dir), f"{path}/coded")
+    decoded, decoding = metrics.timed(codec.decode_hybrid(coded), f"{path}/decoded")
+    writers.json_lines(metrics.run_metrics(coded, encoding, decoding), f"{path}/metrics")
+    different = F.lit(metrics.verify(events_by_user(spark, sf_dir), decoded).first()["different"]).alias("different")
+    read = readers.metrics(spark, f"{path}/metrics")
+    return read.select(F.col("File_bits").alias("file_bits"), (F.col("Compression_ratio") < 1).alias("smaller"), ((F.col("Encoding_time") > 0) & (F.col("Decoding_time") > 0)).alias("timed"), different)
+
+
 @query("SELECT page_id, CAST(len(string_split(regexp_replace(html, '\\n$', ''), chr(10))) AS BIGINT) AS n_lines FROM pages WHERE length(html) > 0")
 def line_log_tokens(spark, sf_dir):
     return readers.lines(table(spark, sf_dir, "pages"), "html", "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -706,6 +852,19 @@ def params_json(spark, sf_dir):
     return made.select("series_id", F.from_json("json", readers.PARAMS).alias("p")).select("series_id", "p.len_series", "p.bs", "p.timesteps", "p.slide")
 
 
+@query(
+    f"""WITH {_USER}, e AS (SELECT series_id, pos, v - lag(v) OVER (PARTITION BY series_id ORDER BY pos) AS e FROM s),
+    g AS (SELECT series_id, coalesce(stddev_pop(e) FILTER (WHERE pos >= 16), 1.0) AS sigma, CAST(greatest(0, count(*) - 16) AS BIGINT) AS num_values FROM e GROUP BY series_id)
+    SELECT series_id, round(sigma, 6) AS sigma, round(3 * sigma, 6) AS threshold, num_values FROM g"""
+)
+def params_json_hybrid(spark, sf_dir):
+    rows = events_by_user(spark, sf_dir)
+    both = cascade.series_sigma(rows, HEAD).join(windows.layout(rows, L, S), "series_id")
+    fields = F.struct(F.col("n").alias("len_series"), "sigma", "threshold", F.greatest(F.lit(0), F.col("n") - HEAD).alias("num_values"))
+    read = both.select("series_id", F.from_json(F.to_json(fields), readers.PARAMS).alias("p"))
+    return read.select("series_id", F.round("p.sigma", 6).alias("sigma"), F.round("p.threshold", 6).alias("threshold"), "p.num_values")
+
+
 @query(
     """SELECT user_id AS series_id, event_id AS pos, CAST(round_even(value * 100, 0) AS BIGINT) AS v,
     CAST(round_even(value * 100, 0) AS BIGINT) - lag(CAST(round_even(value * 100, 0) AS BIGINT)) OVER w AS naive,

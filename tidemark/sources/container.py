@@ -32,12 +32,10 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for k in range(b.num_rows):
-            parts = split_streams(b.column(1)[k].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b.column(0)[k].as_py()] * len(parts), b.schema[0].type), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
-                names=["series_id", "stream_id", "payload"],
-            )
+        parts = [split_streams(x) for x in b.column(1).to_pylist()]
+        rows = pa.array([k for k, p in enumerate(parts) for _ in p], pa.int64())
+        numbers = pa.array([n for p in parts for n in range(len(p))], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), numbers, pa.array([x for p in parts for x in p], pa.binary())], names=["series_id", "stream_id", "payload"])
 
 
 def pack(streams: DataFrame) -> DataFrame:

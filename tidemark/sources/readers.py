@@ -1,13 +1,13 @@
 """Readers of series and texts.
 
-A file's lines keep their order by an explicit position: files are read whole and exploded,
-as no identifier of a split file's rows is a global line number. ``spark.read.text`` with
-splits is the way for files too large for one task, where the order comes from a column.
+A file's lines keep their order by an explicit position. Files are read in splits, and a line's
+position is the count of the lines of earlier splits of its file plus its place in its own, so no
+task holds a whole file. JSON arrays and whole texts are read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -38,6 +38,17 @@ def lines(texts: DataFrame, text_col: str = "text", *keys: str) -> DataFrame:
     return texts.where(F.length(text_col) > 0).select(*keys, F.posexplode(cut).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, line) of text files of any size, as ``lines`` of whole texts gives them."""
+    here = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split")]
+    rows = spark.read.text(path).select(*here, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("path", "split").orderBy("at")) - 1
+    return rows.withColumn("place", place).join(offsets, ["path", "split"]).select("path", (F.col("offset") + F.col("place")).alias("pos"), "line")
+
+
 def value_of(text: Column, mode: int = INT) -> Column:
     """The number in a field: an integer, else a float cut to one in integer mode; null if it is neither."""
     number = F.trim(text).try_cast("double")
@@ -54,7 +65,7 @@ def first_field(line: Column) -> Column:
 
 def csv_series(spark: SparkSession, path: str, mode: int = INT) -> DataFrame:
     """(path, pos, value) from the last comma field of each line; a field that is no number fails the query."""
-    rows = lines(whole_texts(spark, path), "text", "path")
+    rows = split_lines(spark, path)
     value = value_of(last_field(F.col("line")), mode)
     return rows.select("path", "pos", F.coalesce(value, F.raise_error(F.concat(F.lit("not a number: "), "line")).cast(value_type(mode))).alias("value"))
 
@@ -65,12 +76,12 @@ def value_type(mode: int) -> str:
 
 def txt_series(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, value) from the first field of each line."""
-    return lines(whole_texts(spark, path), "text", "path").select("path", "pos", first_field(F.col("line")).cast("bigint").alias("value"))
+    return split_lines(spark, path).select("path", "pos", first_field(F.col("line")).cast("bigint").alias("value"))
 
 
 def int_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, value) from one integer per line, such as ranks."""
-    return lines(whole_texts(spark, path), "text", "path").select("path", "pos", F.trim("line").cast("bigint").alias("value"))
+    return split_lines(spark, path).select("path", "pos", F.trim("line").cast("bigint").alias("value"))
 
 
 def json_series(spark: SparkSession, path: str) -> DataFrame:

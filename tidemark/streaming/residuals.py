@@ -6,8 +6,6 @@ holds two values and a count per series. A restart goes on from the checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.shipping import ship
+from tidemark.shipping import new_path, ship
 
 OUTPUT = "series_id bigint, pos bigint, v bigint, naive bigint, linear bigint"
 
@@ -57,11 +55,9 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 def run_to_end(spark: SparkSession, points: DataFrame) -> DataFrame:
     """Runs over all that is there now and returns the residuals as a table.
 
-    Output and checkpoint lie in the shared folder that ``spark.checkpoint.dir`` names, or, where
-    it is unset (tests on one machine), in a temporary one.
+    Output and checkpoint lie in the shared folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
