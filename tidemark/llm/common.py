@@ -2,54 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shipping import ship  # noqa: F401
-
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on one machine (tests) a temporary folder stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return _OWN_DIRS[app]
-
-
-def work_dir(spark: SparkSession) -> str:
-    """This application's own part of the shared folder."""
-    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables and files that this application has staged; results that were not written are lost with them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts lineage in a way that survives lost executors, and lets later plans read the
-    same rows again without computing them again.
-    """
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from tidemark.shipping import clear, shared_dir, ship, stage, work_dir  # noqa: F401
 
 
 def text_bytes(name: str = "text") -> Column:
