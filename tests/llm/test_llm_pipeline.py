@@ -83,7 +83,7 @@ def kept_by_hand(rows):
             best[key] = (i, t)
     rows = list(best.values())
     out = [(i, t) for (i, t), (_, _, lowest) in zip(rows, simhash_in_order(rows), strict=True) if i is None or i == lowest]
-    cut = passages_by_hand(out, 20)
+    cut = passages_by_hand(out, 30)
     return [(i, cut.get((i, t), t)) for i, t in out]
 
 

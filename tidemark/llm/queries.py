@@ -98,9 +98,9 @@ ORACLE = {
         ), l AS (
             SELECT doc_id, line, min(j) AS a, max(j) AS b, min(cum - n) AS before, max(cum) AS cum FROM s GROUP BY doc_id, line
         ), u AS (
-            SELECT x.doc_id, x.j AS a, y.j AS b FROM s x ASOF JOIN s y ON x.doc_id = y.doc_id AND y.cum >= x.cum - x.n + 20
+            SELECT x.doc_id, x.j AS a, y.j AS b FROM s x ASOF JOIN s y ON x.doc_id = y.doc_id AND y.cum >= x.cum - x.n + 30
             UNION
-            SELECT x.doc_id, x.a, y.b FROM l x ASOF JOIN l y ON x.doc_id = y.doc_id AND y.cum >= x.before + 20
+            SELECT x.doc_id, x.a, y.b FROM l x ASOF JOIN l y ON x.doc_id = y.doc_id AND y.cum >= x.before + 30
         ), whole AS (
             SELECT doc_id, list(norm ORDER BY j) AS norms, list(start ORDER BY j) AS starts, list(stop ORDER BY j) AS stops FROM s GROUP BY doc_id
         ), r AS (

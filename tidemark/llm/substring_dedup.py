@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import in_parts
 from tidemark.llm.common import ship, stage, text_bytes
 
-MIN_WORDS, WORD_BYTES = 20, 15
+MIN_WORDS, WORD_BYTES = 30, 15
 _CUT = re.compile(rb"[\r\n]|[.!?][ \t]+")
 
 
