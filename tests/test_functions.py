@@ -66,6 +66,22 @@ def test_xor_floats(values):
     assert xor.decode(xor.encode(words)[0], len(values)) == words
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(LONG, st.integers(-3, 3)), max_size=12), max_size=12), st.sampled_from([1, 5, 1 << 16]), st.sampled_from([0, 1000]))
+def test_many_series_at_once(series, chunk, in_step):
+    words = [xor.words_of_ints(s) for s in series]
+    flat = np.array([w for s in words for w in s], np.uint64)
+    offsets = np.cumsum([0, *map(len, words)])
+    before = xor.CHUNK, xor.IN_STEP
+    xor.CHUNK, xor.IN_STEP = chunk, in_step
+    try:
+        payloads, sizes = xor.encode_all(flat, offsets)
+        assert list(zip(payloads, sizes, strict=True)) == [xor.encode(w) for w in words]
+        assert xor.decode_all(payloads, np.diff(offsets)).tolist() == flat.tolist()
+    finally:
+        xor.CHUNK, xor.IN_STEP = before
+
+
 @pytest.mark.parametrize("values", [[], [5], [7] * 9, [1, -1] * 9, [-(1 << 63), (1 << 63) - 1, 0]])
 def test_xor_edges(values):
     payload, size = xor.encode(xor.words_of_ints(values))

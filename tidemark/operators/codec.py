@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -71,21 +72,51 @@ def decode_methods(coded: DataFrame) -> DataFrame:
     return by_row(coded, ["series_id"], ["n", "freqs", "payload"], one, "method array<int>")
 
 
+def flat_words(column: pa.ChunkedArray | pa.Array, floats: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit words of a column of arrays, one after the other, and where each array begins; a null array is empty."""
+    kind = np.float64 if floats else np.int64
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(flat, kind).view(np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def by_batch(df: DataFrame, keep: list[str], args: list[str], function: Callable, made: str) -> DataFrame:
+    """As ``by_row``, but ``function`` takes whole columns of a batch and returns whole columns."""
+    kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    ship(df.sparkSession)
+    types = to_arrow_schema(_parse_datatype_string(made))
+    n = len(keep)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                columns = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(function(*b.columns[n:]), types.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *columns], names=[*keep, *types.names])
+
+    return df.select(*keep, *args).mapInArrow(run, f"{kept}, {made}")
+
+
 def encode_words(series: DataFrame, column: str, floats: bool = False) -> DataFrame:
-    """(series_id, n, payload, bit_len): XOR coding of an array of 64-bit integers or floats."""
-    words = xor.words_of_floats if floats else xor.words_of_ints
+    """(series_id, n, payload, bit_len): XOR coding of an array of 64-bit integers or floats, a batch of series at once."""
 
-    def one(values: list):
-        payload, bits = xor.encode(words(values))
-        return len(values), payload, bits
+    def all_of(values: pa.Array):
+        words, offsets = flat_words(values, floats)
+        payloads, bits = xor.encode_all(words, offsets)
+        return np.diff(offsets), payloads, bits
 
-    return by_row(series, ["series_id"], [column], one, "n bigint, payload binary, bit_len bigint")
+    return by_batch(series, ["series_id"], [column], all_of, "n bigint, payload binary, bit_len bigint")
 
 
 def decode_words(coded: DataFrame, floats: bool = False) -> DataFrame:
     """(series_id, value array)."""
-    back = xor.floats_of_words if floats else xor.ints_of_words
-    return by_row(coded, ["series_id"], ["n", "payload"], lambda n, p: (back(xor.decode(p, n)).tolist(),), f"value array<{'double' if floats else 'bigint'}>")
+
+    def all_of(n: pa.Array, payloads: pa.Array):
+        counts = n.to_numpy(zero_copy_only=False)
+        words = xor.decode_all(payloads.to_pylist(), counts)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        return (pa.ListArray.from_arrays(offsets, pa.array(words.view(np.float64 if floats else np.int64))),)
+
+    return by_batch(coded, ["series_id"], ["n", "payload"], all_of, f"value array<{'double' if floats else 'bigint'}>")
 
 
 def encode_hybrid(coded_rows: DataFrame, heads: DataFrame, methods: int = METHODS) -> DataFrame:
@@ -95,15 +126,15 @@ def encode_hybrid(coded_rows: DataFrame, heads: DataFrame, methods: int = METHOD
     them. A series shorter than its head has no coded points and is stored raw.
     """
 
-    def one(method: list[int] | None, residual: list[int] | None):
-        method, residual = method or [], residual or []
-        counts = counts_of(method, methods)
-        packed = arith.encode(method, arith.smoothed(counts)) if method else b""
-        return len(method), [c + 1 for c in counts], packed, xor.encode(xor.words_of_ints(residual))[0]
+    def all_of(method: pa.Array, residual: pa.Array):
+        chosen = [m or [] for m in method.to_pylist()]
+        counts = [counts_of(m, methods) for m in chosen]
+        packed = [arith.encode(m, arith.smoothed(c)) if m else b"" for m, c in zip(chosen, counts, strict=True)]
+        return list(map(len, chosen)), [[f + 1 for f in c] for c in counts], packed, xor.encode_all(*flat_words(residual))[0]
 
     head = gathered(heads, "v").select("series_id", F.col("v").alias("head"))
     both = head.join(gathered(coded_rows, "method", "residual"), "series_id", "left")
-    return by_row(both, ["series_id", "head"], ["method", "residual"], one, "n bigint, freqs array<bigint>, method_payload binary, residual_payload binary")
+    return by_batch(both, ["series_id", "head"], ["method", "residual"], all_of, "n bigint, freqs array<bigint>, method_payload binary, residual_payload binary")
 
 
 def decode_hybrid(coded: DataFrame, mean_length: int = 16, factory: Callable[[], Predictor] | None = None, length: int = 16, step: int = 1) -> DataFrame:
@@ -113,7 +144,7 @@ def decode_hybrid(coded: DataFrame, mean_length: int = 16, factory: Callable[[],
     ``length`` points before that window (``predictors.model_forecasts``).
     """
 
-    def one(head: list[int], n: int, freqs: list[int], method_payload: bytes, residual_payload: bytes):
+    def one(head: list[int], n: int, freqs: list[int], method_payload: bytes, residuals: list[int]):
         out, model, known = list(head), factory() if factory else None, {}
 
         def of_model() -> int:
@@ -125,7 +156,7 @@ def decode_hybrid(coded: DataFrame, mean_length: int = 16, factory: Callable[[],
             return known[win][k]
 
         methods = arith.decode(method_payload, arith.smoothed([f - 1 for f in freqs]), n) if n else []
-        for method, residual in zip(methods, xor.ints_of_words(xor.decode(residual_payload, n)).tolist(), strict=True):
+        for method, residual in zip(methods, residuals, strict=True):
             if method == 0:
                 forecast = out[-1]
             elif method == 1:
@@ -135,9 +166,15 @@ def decode_hybrid(coded: DataFrame, mean_length: int = 16, factory: Callable[[],
             else:
                 forecast = round(sum(out[-mean_length:]) / mean_length)
             out.append(forecast + residual)
-        return (out,)
+        return out
+
+    def all_of(head: pa.Array, n: pa.Array, freqs: pa.Array, method_payload: pa.Array, residual_payload: pa.Array):
+        counts = n.to_numpy(zero_copy_only=False)
+        words = xor.decode_all(residual_payload.to_pylist(), counts).view(np.int64)
+        residuals = [x.tolist() for x in np.split(words, np.cumsum(counts)[:-1])]
+        return ([one(*x) for x in zip(head.to_pylist(), counts.tolist(), freqs.to_pylist(), method_payload.to_pylist(), residuals, strict=True)],)
 
-    rows = by_row(coded, ["series_id"], ["head", "n", "freqs", "method_payload", "residual_payload"], one, "value array<bigint>")
+    rows = by_batch(coded, ["series_id"], ["head", "n", "freqs", "method_payload", "residual_payload"], all_of, "value array<bigint>")
     return exploded(rows)
 
 

@@ -812,6 +812,22 @@ def _of_folder(df: DataFrame) -> DataFrame:
     return df.select(F.regexp_extract("path", "series_id=([^/]*)", 1).alias("series_id"), "pos", "value")
 
 
+@query(f"WITH {_H3} SELECT method, v - CASE method WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS residual, count(*) AS n FROM h GROUP BY ALL")
+def method_residual_files(spark, sf_dir):
+    path = new_path(spark, "method-residuals")
+    writers.method_residuals_csv(_methods(spark, sf_dir), path)
+    read = spark.read.csv(path, header=True, schema="method int, residual bigint")
+    return read.groupBy("method", "residual").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_TYPE} SELECT series_id AS dataset, 'mean' AS model, 16 AS win, 4 AS pred, 8 AS batch, pos, v AS value FROM s")
+def partitioned_files(spark, sf_dir):
+    path = new_path(spark, "layout")
+    rows = _long(spark, sf_dir).select(F.col("series_id").alias("dataset"), F.lit("mean").alias("model"), F.lit(L).alias("win"), F.lit(S).alias("pred"), F.lit(BATCH).alias("batch"), "pos", F.col("v").alias("value"))
+    writers.partitioned(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 @query(f"WITH {_TYPE} SELECT series_id, pos, value FROM s")
 def csv_files(spark, sf_dir):
     return _of_folder(readers.csv_series(spark, f"{_written(spark, sf_dir, 2)}/series_id=*", readers.FLOAT))
