@@ -450,14 +450,19 @@ def container_roundtrip(spark, sf_dir):
 
 # characters, ranks and text coding
 
-_PAIRS = """d AS (SELECT conv_id, turn, string_split(text, '') AS a FROM conversations WHERE length(text) > 0),
-u AS (SELECT conv_id, turn, a, unnest(range(len(a))) AS k FROM d),
-pr AS (SELECT conv_id, turn, CAST(k AS BIGINT) AS pos, CASE WHEN k = 0 THEN '' ELSE a[k] END AS ctx, a[k + 1] AS token FROM u),
+_PAIRS = """d AS (SELECT doc_id, string_split(text, '') AS a FROM documents WHERE length(text) > 0),
+u AS (SELECT doc_id, a, unnest(range(len(a))) AS k FROM d),
+pr AS (SELECT doc_id, CAST(k AS BIGINT) AS pos, CASE WHEN k = 0 THEN '' ELSE a[k] END AS ctx, a[k + 1] AS token FROM u),
 n AS (SELECT ctx, token, count(*) AS n FROM pr GROUP BY ctx, token),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) - 1 AS INTEGER) AS rank FROM n)"""
+_TURN_PAIRS = _PAIRS.replace("doc_id", "conv_id, turn").replace("documents", "conversations")
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
+    return entropy.successors(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def _turn_pairs(spark, sf_dir) -> DataFrame:
     return entropy.successors(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
 
 
@@ -472,10 +477,10 @@ def vocab_dense(spark, sf_dir):
     return vocabulary.dense_vocabulary(_pairs(spark, sf_dir))
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE length(text) > 0")
+@query("SELECT doc_id, text FROM documents WHERE length(text) > 0")
 def detokenize(spark, sf_dir):
     made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")
-    return _pairs(spark, sf_dir).groupBy("conv_id", "turn").agg(made.alias("text"))
+    return _pairs(spark, sf_dir).groupBy("doc_id").agg(made.alias("text"))
 
 
 _NUMERIC = _USER + ", q AS (SELECT series_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS text FROM s GROUP BY series_id)"
@@ -527,9 +532,9 @@ def softmax_scores(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(probs).alias("k", "prob")).select("vec_id", "k", F.round("prob", 9).alias("prob"))
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id, turn, pos, rank FROM pr JOIN rk USING (ctx, token)")
+@query(f"WITH {_TURN_PAIRS} SELECT conv_id, turn, pos, rank FROM pr JOIN rk USING (ctx, token)")
 def token_rank(spark, sf_dir):
-    rows = _pairs(spark, sf_dir)
+    rows = _turn_pairs(spark, sf_dir)
     return entropy.token_ranks(rows, entropy.ranked(entropy.successor_counts(rows))).select("conv_id", "turn", "pos", "rank")
 
 
@@ -544,9 +549,9 @@ def greedy_successor(spark, sf_dir):
     return entropy.greedy(entropy.successor_counts(_pairs(spark, sf_dir)))
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id, turn, pos, token FROM pr")
+@query(f"WITH {_TURN_PAIRS} SELECT conv_id, turn, pos, token FROM pr")
 def rank_inverse(spark, sf_dir):
-    rows = _pairs(spark, sf_dir)
+    rows = _turn_pairs(spark, sf_dir)
     table_ = entropy.ranked(entropy.successor_counts(rows))
     ranks = entropy.token_ranks(rows, table_).select("conv_id", "turn", "pos", "ctx", "rank")
     return entropy.token_at_rank(table_, ranks).select("conv_id", "turn", "pos", "token")
@@ -569,13 +574,13 @@ def uniform_cumul(spark, sf_dir):
 
 @query(
     f"""WITH {_PAIRS}, p AS (SELECT ctx, token, (n + 1) / sum(n + 1) OVER (PARTITION BY ctx) AS prob FROM n)
-    SELECT conv_id, turn, round(sum(-log2(prob)), 4) AS ideal_bits FROM pr JOIN p USING (ctx, token) GROUP BY ALL"""
+    SELECT doc_id, round(sum(-log2(prob)), 3) AS ideal_bits FROM pr JOIN p USING (ctx, token) GROUP BY ALL"""
 )
 def ac_text_ideal_bits(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
     probs = entropy.smoothed(entropy.successor_counts(rows)).select("ctx", "token", "prob")
-    bits_of = rows.join(probs, ["ctx", "token"]).groupBy("conv_id", "turn").agg(F.sum(-F.log2("prob")).alias("ideal_bits"))
-    return bits_of.select("conv_id", "turn", F.round("ideal_bits", 4).alias("ideal_bits"))
+    bits_of = rows.join(entropy.small(probs), ["ctx", "token"]).groupBy("doc_id").agg(F.sum(-F.log2("prob")).alias("ideal_bits"))
+    return bits_of.select("doc_id", F.round("ideal_bits", 3).alias("ideal_bits"))
 
 
 @query(f"WITH {_NUMERIC} SELECT series_id, text FROM q")
