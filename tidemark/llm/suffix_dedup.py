@@ -11,19 +11,21 @@ Dealing: each window has an anchor, its leftmost substring of K bytes of least h
 depends on the window alone, so equal windows have equal anchors. Windows that share one
 anchor position make a segment. Anchors are counted in numeric blocks, one per shuffle bucket:
 
-* segments with equal bytes (128 bits of hash) are settled at once: all but the earliest are
-  marked whole. This happens inside each task before the shuffle, so a passage in a third of
-  all documents is one entry per task, and again after it;
+* of segments that agree in 128 bits of hash, all but the earliest claim to be copies of it. This
+  happens inside each task before the shuffle, so a passage in a third of all documents is
+  one entry per task, and again after it. A claim marks nothing yet: claims that follow one
+  another make runs, runs are cut at every SPAN bytes of the document they copy, and the
+  bytes of both sides are compared; a claim that fails ends the job;
 * an anchor met in one kind of segment only has no other repeats;
 * the earliest of each kind of an anchor with several kinds is fetched and sorted in a shard;
 * an anchor with over HOT kinds of segments (a short common line in ever new surroundings)
-  is not given to one shard: each of its windows is dealt by its own hash of 128 bits and
-  settled like segments. One that shows over HOT / LOCAL kinds inside a task already is not
-  gathered in its bucket either: the bucket gets a flag in place of the entries.
+  is not given to one shard: each of its windows is dealt by its own digest (128 bits of
+  BLAKE2b) and settled by it. One that shows over HOT / LOCAL kinds inside a task already is
+  not gathered in its bucket either: the bucket gets a flag in place of the entries.
 
-Distribution: the texts are read three times: for anchors, for the segments to fetch, and for
-the result; they are joined with the few entries that concern them by id and hash. All
-shuffles are by hash; no step holds more than a bucket or a shard of SHARD bytes.
+Distribution: the texts are read three times: for anchors, for the segments and runs to
+fetch, and for the result; they are joined with the few entries that concern them by id and
+hash. All shuffles are by hash; no step holds more than a bucket or a shard of SHARD bytes.
 
 Edge cases: null text counts as empty; texts shorter than ``width`` lose nothing; null ids are
 the earliest; rows of equal id and other text are ordered by a hash of the text; rows that
@@ -34,6 +36,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,12 +51,15 @@ from tidemark.llm.suffix_array import permuted_lcp, suffix_array
 
 WIDTH, K, HOT = 100, 32, 256
 SHARD, FLUSH, CHUNK = 1 << 20, 1 << 20, 1 << 19
-MARK, FETCH, WINDOWS, FLAG = 0, 1, 2, 3
+MARK, FETCH, WINDOWS, FLAG, CLAIM, LEAD, VERIFY = range(7)
+#: Runs of copies are compared in pieces of so many bytes of what they copy.
+SPAN = 1 << 13
 #: An anchor with over HOT / LOCAL kinds of segments in one flush of one task is hot at once.
 LOCAL = 16
 NO_ID = -(1 << 63)
-_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("rid", "<i8"), ("key", "<i8"), ("s", "<i4"), ("m", "<i4")])
-_ROWS = "kind int, a long, rid long, key long, s int, m int"
+_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("rid", "<i8"), ("key", "<i8"), ("s", "<i4"), ("m", "<i4"), ("t", "<i4")])
+#: A claim names the document it copies in a and b, and where in t.
+_ROWS = "kind int, a long, b long, rid long, key long, s int, m int, t int"
 _PACKED = "bucket int, kind int, payload binary"
 _MUL, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -91,15 +97,26 @@ def segments(text: bytes, width: int = WIDTH, k: int = K) -> Iterator[tuple[np.n
         yield h[at[starts]], base + starts, np.diff(np.concatenate((starts, [len(at)])))
 
 
-def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries sorted by (a, b) and place: the earliest of each kind, and the marked rest."""
+def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by (a, b) and place: the earliest of each kind, the rest, and for each of these the earliest."""
     e = e[np.lexsort((e["s"], e["key"], e["rid"], e["b"], e["a"]))]
     new = np.ones(len(e), bool)
     new[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
     # a repeated row of the table is no earlier place
     same = (e["rid"] == e["rid"][lead]) & (e["key"] == e["key"][lead]) & (e["s"] == e["s"][lead])
-    return e[new], e[~new & ~same]
+    return e[new], e[~new & ~same], e[lead[~new & ~same]]
+
+
+def _claims(copies: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The copies as claims, and the segments they copy."""
+    claims = copies.copy()
+    claims["a"], claims["b"], claims["t"] = leads["rid"].astype(np.int64).view(np.uint64), leads["key"].astype(np.int64).view(np.uint64), leads["s"]
+    own = np.zeros(len(leads), _ENTRY)
+    for c in ("rid", "key", "s", "m"):
+        own[c] = leads[c]
+    own["t"] = leads["s"]
+    return claims, np.unique(own)
 
 
 def _pack(e: np.ndarray, buckets: int, kind: int, by: str = "a") -> pa.RecordBatch:
@@ -124,9 +141,9 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _out(kind: int, e: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(e), kind), pa.int32()), pa.array(np.ascontiguousarray(e["a"]).view(np.int64))]
-    columns += [pa.array(np.ascontiguousarray(e[c])) for c in ("rid", "key", "s", "m")]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "rid", "key", "s", "m"])
+    columns = [pa.array(np.full(len(e), kind), pa.int32()), *(pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in ("a", "b"))]
+    columns += [pa.array(np.ascontiguousarray(e[c])) for c in ("rid", "key", "s", "m", "t")]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "rid", "key", "s", "m", "t"])
 
 
 class _Packer:
@@ -146,9 +163,12 @@ class _Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        first, marked = _settle(np.concatenate(self.held))
+        first, copies, leads = _settle(np.concatenate(self.held))
         self.held, self.size = [], 0
+        later = [(copies, MARK)]  # of windows by their digest
         if self.local is not None:
+            claims, own = _claims(copies, leads)
+            later = [(claims, CLAIM), (own, LEAD)]
             anchors, which, kinds = np.unique(first["a"], return_inverse=True, return_counts=True)
             hot = kinds > self.local
             if hot.any():
@@ -157,14 +177,14 @@ class _Packer:
                 yield _pack(flags, self.buckets, FLAG)
                 yield _pack(first[hot[which]], self.buckets, WINDOWS, "key")
                 first = first[~hot[which]]
-        for rows, kind, by in ((first, FETCH, "a"), (marked, MARK, "key")):
+        for rows, kind, by in ((first, FETCH, "a"), *((x, kind, "key") for x, kind in later)):
             if len(rows):
                 yield _pack(rows, self.buckets, kind, by)
 
 
 def _entries(a: np.ndarray, b: np.ndarray, rid: int, key: int, s: np.ndarray, m: np.ndarray) -> np.ndarray:
     e = np.empty(len(a), _ENTRY)
-    e["a"], e["b"], e["rid"], e["key"], e["s"], e["m"] = a, b, rid, key, s, m
+    e["a"], e["b"], e["rid"], e["key"], e["s"], e["m"], e["t"] = a, b, rid, key, s, m, 0
     return e
 
 
@@ -184,9 +204,11 @@ def _anchor_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int,
 def _settle_bucket(held: list[bytes], flags: list[bytes], hot: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
-    first, marked = _settle(np.concatenate([_unpack(x) for x in held]))
-    if len(marked):
-        yield _out(MARK, marked)
+    first, copies, leads = _settle(np.concatenate([_unpack(x) for x in held]))
+    if len(copies):
+        claims, own = _claims(copies, leads)
+        yield _out(CLAIM, claims)
+        yield _out(LEAD, own)
     _, which, kinds = np.unique(first["a"], return_inverse=True, return_counts=True)
     kinds = kinds[which]
     by_window = kinds > hot
@@ -198,7 +220,7 @@ def _settle_bucket(held: list[bytes], flags: list[bytes], hot: int) -> Iterator[
 
 
 def _bucket_batches(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows sorted by bucket to rows of marks, segments to fetch, and segments to deal by window."""
+    """Packed rows sorted by bucket to rows of claims and what they copy, segments to fetch, and segments to deal by window."""
     held: list[bytes] = []
     flags: list[bytes] = []
     last = None
@@ -219,31 +241,71 @@ def _bucket_batches(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.
 _PIECES = "shard long, kind int, a long, rid long, key long, s int, seg binary"
 
 
+def _runs(entries: list) -> Iterator[tuple]:
+    """Claims of one document, or segments it leads, as runs (document copied, start, windows, shift to what is copied)."""
+    run: list | None = None
+    for e in sorted(entries, key=lambda e: (e["a"], e["b"], e["t"] - e["s"], e["s"])):
+        of, shift = (e["a"], e["b"]), e["t"] - e["s"]
+        if run and run[0] == of and run[3] == shift and e["s"] <= run[1] + run[2]:
+            run[2] = max(run[2], e["s"] + e["m"] - run[1])
+        else:
+            if run:
+                yield tuple(run)
+            run = [of, e["s"], e["m"], shift]
+    if run:
+        yield tuple(run)
+
+
+def _span_key(rid: int, key: int, span: int) -> int:
+    return xxhash.xxh64_intdigest(struct.pack("<qqq", rid, key, span)) - (1 << 63)
+
+
+def _verify_rows(rid: int, key: int, text: bytes, entries: list, width: int) -> Iterator[tuple]:
+    """What others copy of a document, and its own runs of copies, in pieces under the key of the span they copy.
+
+    t tells where in its span a piece belongs; s, the place of a copy, is -1 for what is copied.
+    """
+    for kind in (LEAD, CLAIM):
+        for (rid_of, key_of), s, m, shift in _runs([e for e in entries if e["kind"] == kind]):
+            of = (rid, key) if kind == LEAD else (rid_of, key_of)
+            at = s
+            while at < s + m:
+                span, inside = divmod(at + shift, SPAN)
+                size = min(SPAN - inside, s + m - at)
+                yield _span_key(*of, span), VERIFY, rid, key, -1 if kind == LEAD else at, inside, text[at : at + size + width - 1]
+                at += size
+
+
+_NAMES = ["shard", "kind", "a", "rid", "key", "s", "t", "seg"]
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_PIECES = "shard long, kind int, a long, rid long, key long, s int, t int, seg binary"
+
+
 def _fetch_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Texts with their entries to segments for the shards, and to packed windows for the buckets."""
+    """Texts with their entries to segments for the shards, pieces to compare, and packed windows for the buckets."""
     packer = _Packer(buckets)
-    names = ["shard", "kind", "a", "rid", "key", "s", "seg"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def windows() -> Iterator[pa.RecordBatch]:
         for p in packer.flush():
-            n = p.num_rows
-            zero = pa.array([0] * n, pa.int64())
-            yield pa.RecordBatch.from_arrays([p.column(0).cast(pa.int64()), pa.array([WINDOWS if k == FETCH else MARK for k in p.column(1).to_pylist()], pa.int32()), zero, zero, zero, zero.cast(pa.int32()), p.column(2)], names=names)
+            zero = pa.array([0] * p.num_rows, pa.int64())
+            kinds = pa.array([WINDOWS if k == FETCH else MARK for k in p.column(1).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([p.column(0).cast(pa.int64()), kinds, zero, zero, zero, zero.cast(pa.int32()), zero.cast(pa.int32()), p.column(2)], names=_NAMES)
 
     for batch in in_parts(batches):
         rows: list[tuple] = []
         for rid, key, text, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for span_key, *rest in _verify_rows(rid, key, text, entries, width):
+                rows.append((span_key, rest[0], span_key, *rest[1:]))
             for e in entries:
                 s, m = e["s"], e["m"]
                 if e["kind"] == FETCH:
-                    rows.append((e["a"], FETCH, e["a"], rid, key, s, text[s : s + m + width - 1]))
-                else:
+                    rows.append((e["a"], FETCH, e["a"], rid, key, s, 0, text[s : s + m + width - 1]))
+                elif e["kind"] == WINDOWS:
                     digests = b"".join(hashlib.blake2b(text[i : i + width], digest_size=16).digest() for i in range(s, s + m))
                     two = np.frombuffer(digests, "<u8").reshape(-1, 2)
                     packer.add(_entries(two[:, 0], two[:, 1], rid, key, np.arange(s, s + m), np.ones(m, np.int64)))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
         if packer.size >= FLUSH:
             yield from windows()
     yield from windows()
@@ -262,19 +324,42 @@ def shard_marks(pieces: list[tuple], width: int) -> np.ndarray:
     at, group = order[keep], group[keep]
     piece = np.searchsorted(starts, at, side="right") - 1
     e = np.empty(len(at), _ENTRY)
-    e["a"], e["b"], e["m"] = group, 0, 1
+    e["a"], e["b"], e["m"], e["t"] = group, 0, 1, 0
     e["rid"], e["key"] = (np.array([p[i] for p in pieces], np.int64)[piece] for i in (0, 1))
     e["s"] = np.array([p[2] for p in pieces])[piece] + at - starts[piece]
     return _settle(e)[1]
 
 
+class _Compared:
+    """Compares copies with the spans they copy, which come before them, and gathers their marks."""
+
+    def __init__(self, width: int):
+        self.width, self.key, self.spans, self.marks = width, None, [], []
+
+    def add(self, key: int, rid: int, doc_key: int, s: int, t: int, piece: bytes) -> None:
+        if key != self.key:
+            self.key, self.spans = key, []
+        if s < 0:
+            self.spans.append((t, piece))
+        elif any(t >= first and span[t - first : t - first + len(piece)] == piece for first, span in self.spans):
+            self.marks.append((0, 0, rid, doc_key, s, len(piece) - self.width + 1, 0))
+        else:
+            raise ValueError("two segments of equal hash have different bytes")
+
+    def flush(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.marks) >= least:
+            marks, self.marks = np.array(self.marks, _ENTRY), []
+            yield _out(MARK, marks)
+
+
 def _shard_batches(batches: Iterable[pa.RecordBatch], width: int, shard: int) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by shard and kind: segments meet in suffix arrays of whole anchors, packed windows in their bucket."""
+    """Pieces by kind and shard: segments meet in suffix arrays of whole anchors, packed windows in their bucket, copies and what they copy in turn."""
     pieces: list[tuple] = []
     held: list[bytes] = []
+    compared = _Compared(width)
     size, last, last_bucket = 0, None, None
     for batch in batches:
-        for number, kind, a, rid, key, s, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for number, kind, a, rid, key, s, t, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and number != last_bucket:
                 marked = _settle(np.concatenate([_unpack(x) for x in held]))[1]
                 held = []
@@ -284,6 +369,8 @@ def _shard_batches(batches: Iterable[pa.RecordBatch], width: int, shard: int) ->
             elif kind == WINDOWS:
                 held.append(seg)
                 last_bucket = number
+            elif kind == VERIFY:
+                compared.add(a, rid, key, s, t, seg)
             else:
                 if size >= shard and a != last:
                     yield _out(MARK, shard_marks(pieces, width))
@@ -291,6 +378,8 @@ def _shard_batches(batches: Iterable[pa.RecordBatch], width: int, shard: int) ->
                 pieces.append((rid, key, s, seg))
                 size += len(seg)
                 last = a
+        yield from compared.flush(FLUSH >> 4)
+    yield from compared.flush()
     if held:
         yield _out(MARK, _settle(np.concatenate([_unpack(x) for x in held]))[1])
     if pieces:
@@ -333,12 +422,12 @@ def window_marks(spark: SparkSession, rows: DataFrame, width: int = WIDTH, hot:
     packed = rows.mapInArrow(lambda it: _anchor_batches(it, width, buckets, hot), _PACKED)
     packed = packed.repartition("bucket").sortWithinPartitions("bucket")
     entries = stage(spark, packed.mapInArrow(lambda it: _bucket_batches(it, hot), _ROWS), "suffix-entries")
-    wanted = entries.where(F.col("kind") != MARK).groupBy("rid", "key").agg(F.collect_list(F.struct("kind", "a", "s", "m")).alias("entries"))
+    wanted = entries.groupBy("rid", "key").agg(F.collect_list(F.struct("kind", "a", "b", "s", "m", "t")).alias("entries"))
     once = rows.join(stage(spark, wanted, "suffix-wanted").hint("merge"), ["rid", "key"]).select("rid", "key", "t", "entries")
     pieces = once.mapInArrow(lambda it: _fetch_batches(it, width, buckets), _PIECES)
-    pieces = pieces.repartition("shard").sortWithinPartitions("kind", "shard", "a")
+    pieces = pieces.repartition("shard").sortWithinPartitions("kind", "shard", "a", "s")
     marks = stage(spark, pieces.mapInArrow(lambda it: _shard_batches(it, width, shard), _ROWS), "suffix-marks")
-    return entries.where(F.col("kind") == MARK).union(marks).select("rid", "key", "s", "m")
+    return marks.select("rid", "key", "s", "m")
 
 
 def suffix_dedup(
