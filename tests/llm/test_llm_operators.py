@@ -665,15 +665,13 @@ def test_copies_are_compared_byte_by_byte(spark, monkeypatch):
     rows = [(1, base), (2, "x" + base[5_000:25_000] + "y" + base[100:20_500]), (3, base), (4, base[:8_300])]
     got = suffix_dedup.suffix_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in got), key=repr) == covered_by_hand(rows)
-    compared = suffix_dedup._Compared(4)
-    compared.add(7, 1, 1, -1, 10, b"abcdefgh")
-    compared.add(7, 2, 2, 3, 11, b"bcdef")
-    assert [m[2:] for m in compared.marks] == [(2, 2, 3, 2, 0)]
-    for t, piece in ((11, b"bcdex"), (9, b"abcd"), (14, b"efghi")):
+    compared = suffix_dedup._Compared()
+    compared.add([7, 7, 7, 7], [-1, -1, 3, 9], [40, 10, 11, 41], [b"xyzxyz", b"abcdefgh", b"bcdef", b"yzx"])
+    for t, piece in ((11, b"bcdex"), (9, b"abcd"), (14, b"efghi"), (41, b"yzxyzx")):
         with pytest.raises(ValueError, match="equal hash"):
-            compared.add(7, 2, 2, 3, t, piece)
+            compared.add([7], [3], [t], [piece])
     with pytest.raises(ValueError, match="equal hash"):
-        compared.add(8, 2, 2, 3, 11, b"bcdef")
+        compared.add([8], [3], [11], [b"bcdef"])
 
 
 def test_long_texts_are_cut_into_chunks(monkeypatch):

@@ -36,11 +36,12 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import struct
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ WIDTH, K, HOT = 100, 32, 256
 SHARD, FLUSH, CHUNK = 1 << 20, 1 << 20, 1 << 19
 MARK, FETCH, WINDOWS, FLAG, CLAIM, LEAD, VERIFY = range(7)
 #: Runs of copies are compared in pieces of so many bytes of what they copy.
-SPAN = 1 << 13
+SPAN = 1 << 12
 #: An anchor with over HOT / LOCAL kinds of segments in one flush of one task is hot at once.
 LOCAL = 16
 NO_ID = -(1 << 63)
@@ -241,39 +242,33 @@ def _bucket_batches(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.
 _PIECES = "shard long, kind int, a long, rid long, key long, s int, seg binary"
 
 
-def _runs(entries: list) -> Iterator[tuple]:
-    """Claims of one document, or segments it leads, as runs (document copied, start, windows, shift to what is copied)."""
-    run: list | None = None
-    for e in sorted(entries, key=lambda e: (e["a"], e["b"], e["t"] - e["s"], e["s"])):
-        of, shift = (e["a"], e["b"]), e["t"] - e["s"]
-        if run and run[0] == of and run[3] == shift and e["s"] <= run[1] + run[2]:
-            run[2] = max(run[2], e["s"] + e["m"] - run[1])
-        else:
-            if run:
-                yield tuple(run)
-            run = [of, e["s"], e["m"], shift]
-    if run:
-        yield tuple(run)
+def _span_keys(rid: np.ndarray, key: np.ndarray, span: np.ndarray) -> np.ndarray:
+    h = (rid.astype(np.int64).view(np.uint64) * _MUL) ^ key.astype(np.int64).view(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _MUL2 + span.astype(np.uint64)
+    return ((h ^ (h >> np.uint64(29))) * _MUL).view(np.int64)
 
 
-def _span_key(rid: int, key: int, span: int) -> int:
-    return xxhash.xxh64_intdigest(struct.pack("<qqq", rid, key, span)) - (1 << 63)
+def _runs(doc: np.ndarray, e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Claims and led segments of the documents of a batch as runs, cut where a span of what is copied ends.
 
-
-def _verify_rows(rid: int, key: int, text: bytes, entries: list, width: int) -> Iterator[tuple]:
-    """What others copy of a document, and its own runs of copies, in pieces under the key of the span they copy.
-
-    t tells where in its span a piece belongs; s, the place of a copy, is -1 for what is copied.
+    (document, key of the span, place in the document or -1 for what is copied, place in the span, start, windows)
     """
-    for kind in (LEAD, CLAIM):
-        for (rid_of, key_of), s, m, shift in _runs([e for e in entries if e["kind"] == kind]):
-            of = (rid, key) if kind == LEAD else (rid_of, key_of)
-            at = s
-            while at < s + m:
-                span, inside = divmod(at + shift, SPAN)
-                size = min(SPAN - inside, s + m - at)
-                yield _span_key(*of, span), VERIFY, rid, key, -1 if kind == LEAD else at, inside, text[at : at + size + width - 1]
-                at += size
+    led, shift = e["kind"] == LEAD, e["t"].astype(np.int64) - e["s"]
+    order = np.lexsort((e["s"], shift, e["b"], e["a"], led, doc))
+    doc, led, shift, a, b, s, m = (x[order] for x in (doc, led, shift, e["a"], e["b"], e["s"].astype(np.int64), e["m"].astype(np.int64)))
+    new = np.ones(len(s), bool)
+    same = (doc[1:] == doc[:-1]) & (led[1:] == led[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (shift[1:] == shift[:-1])
+    new[1:] = ~same | (s[1:] > s[:-1] + m[:-1])
+    first = np.flatnonzero(new)
+    end = (s + m)[np.append(first[1:], len(s)) - 1]
+    doc, led, shift, a, b, s = (x[first] for x in (doc, led, shift, a, b, s))
+    low, high = s + shift, end + shift
+    pieces = (high - 1) // SPAN - low // SPAN + 1
+    row = np.repeat(np.arange(len(s)), pieces)
+    span = low[row] // SPAN + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    low, high = np.maximum(low[row], span * SPAN), np.minimum(high[row], (span + 1) * SPAN)
+    start = low - shift[row]
+    return doc[row], _span_keys(a[row], b[row], span), np.where(led[row], -1, start), low - span * SPAN, start, high - low
 
 
 _NAMES = ["shard", "kind", "a", "rid", "key", "s", "t", "seg"]
@@ -292,20 +287,32 @@ def _fetch_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int)
             yield pa.RecordBatch.from_arrays([p.column(0).cast(pa.int64()), kinds, zero, zero, zero, zero.cast(pa.int32()), zero.cast(pa.int32()), p.column(2)], names=_NAMES)
 
     for batch in in_parts(batches):
-        rows: list[tuple] = []
-        for rid, key, text, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for span_key, *rest in _verify_rows(rid, key, text, entries, width):
-                rows.append((span_key, rest[0], span_key, *rest[1:]))
-            for e in entries:
-                s, m = e["s"], e["m"]
-                if e["kind"] == FETCH:
-                    rows.append((e["a"], FETCH, e["a"], rid, key, s, 0, text[s : s + m + width - 1]))
-                elif e["kind"] == WINDOWS:
-                    digests = b"".join(hashlib.blake2b(text[i : i + width], digest_size=16).digest() for i in range(s, s + m))
-                    two = np.frombuffer(digests, "<u8").reshape(-1, 2)
-                    packer.add(_entries(two[:, 0], two[:, 1], rid, key, np.arange(s, s + m), np.ones(m, np.int64)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+        rid, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        texts, lists = batch.column(2).to_pylist(), batch.column(3)
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        e = {c: flat.field(k).to_numpy(zero_copy_only=False) for k, c in enumerate(("kind", "a", "b", "s", "m", "t"))}
+
+        def rows(kind: int, d: np.ndarray, a: np.ndarray, s: np.ndarray, t: np.ndarray, start: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            ends = (start + m + (width - 1)).tolist()
+            seg = [texts[i][x:y] for i, x, y in zip(d.tolist(), start.tolist(), ends, strict=True)]  # noqa: B023
+            columns = [a, np.full(len(d), kind), a, rid[d], key[d], s, t, seg]  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, _TYPES, strict=True)], names=_NAMES)
+
+        at = np.flatnonzero(e["kind"] == FETCH)
+        if len(at):
+            yield rows(FETCH, doc[at], e["a"][at], e["s"][at], np.zeros(len(at), np.int64), e["s"][at], e["m"][at])
+        at = np.flatnonzero((e["kind"] == CLAIM) | (e["kind"] == LEAD))
+        if len(at):
+            chosen = {c: x[at] for c, x in e.items()}
+            d, led = doc[at], chosen["kind"] == LEAD
+            chosen["a"], chosen["b"] = np.where(led, rid[d], chosen["a"]), np.where(led, key[d], chosen["b"])
+            yield rows(VERIFY, *_runs(d, chosen))
+        for k in np.flatnonzero(e["kind"] == WINDOWS).tolist():
+            text, s, m = texts[doc[k]], int(e["s"][k]), int(e["m"][k])
+            digests = b"".join(hashlib.blake2b(text[i : i + width], digest_size=16).digest() for i in range(s, s + m))
+            two = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            packer.add(_entries(two[:, 0], two[:, 1], rid[doc[k]], key[doc[k]], np.arange(s, s + m), np.ones(m, np.int64)))
         if packer.size >= FLUSH:
             yield from windows()
     yield from windows()
@@ -331,35 +338,39 @@ def shard_marks(pieces: list[tuple], width: int) -> np.ndarray:
 
 
 class _Compared:
-    """Compares copies with the spans they copy, which come before them, and gathers their marks."""
-
-    def __init__(self, width: int):
-        self.width, self.key, self.spans, self.marks = width, None, [], []
-
-    def add(self, key: int, rid: int, doc_key: int, s: int, t: int, piece: bytes) -> None:
-        if key != self.key:
-            self.key, self.spans = key, []
-        if s < 0:
-            self.spans.append((t, piece))
-        elif any(t >= first and span[t - first : t - first + len(piece)] == piece for first, span in self.spans):
-            self.marks.append((0, 0, rid, doc_key, s, len(piece) - self.width + 1, 0))
-        else:
-            raise ValueError("two segments of equal hash have different bytes")
-
-    def flush(self, least: int = 1) -> Iterator[pa.RecordBatch]:
-        if len(self.marks) >= least:
-            marks, self.marks = np.array(self.marks, _ENTRY), []
-            yield _out(MARK, marks)
+    """Compares copies with what they copy, which comes before them in a span."""
+
+    def __init__(self) -> None:
+        self.key, self.led, self.starts = None, [], []
+
+    def add(self, keys: list[int], places: list[int], starts: list[int], pieces: list[bytes]) -> None:
+        """Pieces in the order of their spans; fails if one is no copy of its span."""
+        for key, s, t, piece in zip(keys, places, starts, pieces, strict=True):
+            if key != self.key:
+                self.key, self.led, self.starts = key, [], []
+            if s < 0:
+                self.led.append((t, piece))
+                continue
+            if len(self.starts) != len(self.led):
+                self.led.sort()
+                self.starts = [x for x, _ in self.led]
+            at = bisect_right(self.starts, t) - 1
+            for first, whole in ([self.led[at]] if at >= 0 else []) + self.led:
+                if first <= t and whole[t - first : t - first + len(piece)] == piece:
+                    break
+            else:
+                raise ValueError("two segments of equal hash have different bytes")
 
 
 def _shard_batches(batches: Iterable[pa.RecordBatch], width: int, shard: int) -> Iterator[pa.RecordBatch]:
     """Pieces by kind and shard: segments meet in suffix arrays of whole anchors, packed windows in their bucket, copies and what they copy in turn."""
     pieces: list[tuple] = []
     held: list[bytes] = []
-    compared = _Compared(width)
+    compared = _Compared()
     size, last, last_bucket = 0, None, None
     for batch in batches:
-        for number, kind, a, rid, key, s, t, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rest = int(np.count_nonzero(batch.column(1).to_numpy(zero_copy_only=False) < VERIFY))  # the others come last
+        for number, kind, a, rid, key, s, _, seg in zip(*(c.to_pylist() for c in batch.slice(0, rest).columns), strict=True):
             if held and number != last_bucket:
                 marked = _settle(np.concatenate([_unpack(x) for x in held]))[1]
                 held = []
@@ -369,8 +380,6 @@ def _shard_batches(batches: Iterable[pa.RecordBatch], width: int, shard: int) ->
             elif kind == WINDOWS:
                 held.append(seg)
                 last_bucket = number
-            elif kind == VERIFY:
-                compared.add(a, rid, key, s, t, seg)
             else:
                 if size >= shard and a != last:
                     yield _out(MARK, shard_marks(pieces, width))
@@ -378,41 +387,50 @@ def _shard_batches(batches: Iterable[pa.RecordBatch], width: int, shard: int) ->
                 pieces.append((rid, key, s, seg))
                 size += len(seg)
                 last = a
-        yield from compared.flush(FLUSH >> 4)
-    yield from compared.flush()
+        if rest < batch.num_rows:
+            own = batch.slice(rest)
+            compared.add(*(own.column(k).to_pylist() for k in (2, 5, 6, 7)))
+            copies = np.flatnonzero(own.column(5).to_numpy(zero_copy_only=False) >= 0)
+            marks = np.zeros(len(copies), _ENTRY)
+            for c, k in (("rid", 3), ("key", 4), ("s", 5)):
+                marks[c] = own.column(k).to_numpy(zero_copy_only=False)[copies]
+            marks["m"] = pc.binary_length(own.column(7)).to_numpy(zero_copy_only=False)[copies] - (width - 1)
+            yield _out(MARK, marks)
     if held:
         yield _out(MARK, _settle(np.concatenate([_unpack(x) for x in held]))[1])
     if pieces:
         yield _out(MARK, shard_marks(pieces, width))
 
 
-def spans_of(size: int, marks: list, width: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by the marked windows; marks: (first window, windows)."""
-    if not marks:
-        return []
-    edge = np.zeros(size + 1, np.int64)
-    s, m = (np.array([x[i] for x in marks]) for i in (0, 1))
-    np.add.at(edge, s, 1)
-    np.add.at(edge, s + m + width - 1, -1)
+def spans_of(size: int, s: np.ndarray, m: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by the marked windows: first windows, and how many from each."""
+    edge = np.bincount(s, minlength=size + 1) - np.bincount(s.astype(np.int64) + m + (width - 1), minlength=size + 1)
     covered = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
     turn = np.flatnonzero(np.diff(covered))
     return list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
 
 
 def _result_batches(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in in_parts(batches):
-        kept, spans = [], []
-        for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            gone = spans_of(len(text), [(x["s"], x["m"]) for x in marks or []], width)
+        texts, lists = batch.column(1), batch.column(2)
+        marked = pc.fill_null(pc.greater(pc.list_value_length(lists), 0), False)
+        sizes = pc.binary_length(texts).cast(pa.int64())
+        flat = lists.filter(marked).flatten()
+        s, m = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.cumsum(pc.list_value_length(lists.filter(marked)).to_numpy(zero_copy_only=False))
+        kept, spans = [], [[] for _ in range(batch.num_rows)]
+        rows = np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()
+        for row, text, a, b in zip(rows, texts.filter(marked).to_pylist(), [0, *cuts.tolist()], cuts.tolist(), strict=False):
+            gone = spans_of(len(text), s[a:b], m[a:b], width)
             at, parts = 0, []
             for x, y in gone:
                 parts.append(text[at:x])
                 at = y
-            kept.append(b"".join([*parts, text[at:]]) if gone else text)
-            spans.append([{"start": x, "end": y} for x, y in gone])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        n = pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
+            kept.append(b"".join([*parts, text[at:]]))
+            spans[row] = [{"start": x, "end": y} for x, y in gone]
+        whole = pc.replace_with_mask(texts, marked, pa.array(kept, texts.type)) if rows else texts
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, whole, pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
 
 
 def window_marks(spark: SparkSession, rows: DataFrame, width: int = WIDTH, hot: int = HOT, shard: int = SHARD) -> DataFrame:
@@ -423,7 +441,7 @@ def window_marks(spark: SparkSession, rows: DataFrame, width: int = WIDTH, hot:
     packed = packed.repartition("bucket").sortWithinPartitions("bucket")
     entries = stage(spark, packed.mapInArrow(lambda it: _bucket_batches(it, hot), _ROWS), "suffix-entries")
     wanted = entries.groupBy("rid", "key").agg(F.collect_list(F.struct("kind", "a", "b", "s", "m", "t")).alias("entries"))
-    once = rows.join(stage(spark, wanted, "suffix-wanted").hint("merge"), ["rid", "key"]).select("rid", "key", "t", "entries")
+    once = rows.join(wanted.hint("merge"), ["rid", "key"]).select("rid", "key", "t", "entries")
     pieces = once.mapInArrow(lambda it: _fetch_batches(it, width, buckets), _PIECES)
     pieces = pieces.repartition("shard").sortWithinPartitions("kind", "shard", "a", "s")
     marks = stage(spark, pieces.mapInArrow(lambda it: _shard_batches(it, width, shard), _ROWS), "suffix-marks")
