@@ -27,20 +27,20 @@ def _small_star(spark: SparkSession, links: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (two columns of the same orderable type) but the roots.
 
-    The root is the smallest node reachable. Loops and repeated links are allowed.
+    The root is the smallest node reachable. Loops and repeated links are allowed. It ends when
+    a round changes nothing, after a number of rounds that grows with the logarithm of the links.
     """
     u, v = links.columns
     links = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
     links = stage(spark, links, "links")
     seen = None
-    for _ in range(rounds):
+    while True:
         links = stage(spark, _large_star(spark, links), "large-star")
         links = stage(spark, _small_star(spark, links), "small-star")
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

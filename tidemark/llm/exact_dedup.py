@@ -7,6 +7,10 @@ false positive and goes in as new. When a copy with a larger id arrives, the liv
 deleted from filter and bucket and the larger one is inserted. A filter that overflows is
 rebuilt at twice the size from the stored keys.
 
+The keys are stored whole beside the filter, for verification, deletion and resizing, so the
+filter saves look-ups and no memory. A hit is verified on the stored SHA-256 of the
+normalised text, as texts themselves do not travel: two texts of one SHA-256 count as equal.
+
 Distribution: each task indexes its own rows first (so a group that holds a third of all
 rows leaves a task as one row), the survivors are shuffled by digest and indexed again, and
 the groups are joined back to the rows by digest, a join that Spark can split when skewed.
