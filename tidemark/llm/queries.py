@@ -173,4 +173,29 @@ ORACLE = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op10_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+        ), l AS (
+            SELECT doc_id, [md5(substr(h, 2 * i + 1, 200)) FOR i IN range(n - 99)] AS w FROM d WHERE n >= 100
+        ), w AS (
+            SELECT doc_id, unnest(w) AS g, generate_subscripts(w, 1) - 1 AS i FROM l
+        ), r AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM w
+        ), g AS (
+            SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM r WHERE again
+        ), o AS (
+            SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g
+        ), s AS (
+            SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM o GROUP BY doc_id, run
+        ), p AS (
+            SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+        ), k AS (
+            SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+            FROM p JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
 }
