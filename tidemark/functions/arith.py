@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Sequence
+from functools import lru_cache
 
 from tidemark.functions.bits import BitReader, BitWriter
 
@@ -121,5 +122,7 @@ def quantised(probabilities: Sequence[float]) -> list[int]:
     return table
 
 
+@lru_cache(maxsize=64)
 def uniform(size: int) -> list[int]:
+    """The table of ``size`` equal symbols, shared by all who ask: not to be changed."""
     return quantised([1.0 / size] * size)

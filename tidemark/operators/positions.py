@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import dealt
+
 
 def long_positions(rows: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
     """Adds ``pos`` within ``key``, without sorting a key in one task.
@@ -24,7 +26,7 @@ def long_positions(rows: DataFrame, key: str, order: list[str], bucket: Column)
 def cut_streams(series: DataFrame, points: int) -> DataFrame:
     """Series rows as streams of ``points`` points, each a series with a head of its own: series_id becomes a struct."""
     stream = F.floor(F.col("pos") / points).cast("bigint")
-    return series.select(F.struct("series_id", stream.alias("stream_id")).alias("series_id"), F.pmod("pos", F.lit(points)).cast("bigint").alias("pos"), "v")
+    return dealt(series.select(F.struct("series_id", stream.alias("stream_id")).alias("series_id"), F.pmod("pos", F.lit(points)).cast("bigint").alias("pos"), "v"))
 
 
 def join_streams(streams: DataFrame, points: int) -> DataFrame:

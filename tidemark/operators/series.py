@@ -12,9 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str = "series_id") -> DataFrame:
+    """Rows by series over all shuffle partitions.
+
+    What follows works by series in one exchange. Its cost is the work per point rather than
+    bytes, so the partitions are not merged by their size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def series(df: DataFrame, key: str, value: str, order: list[str], decimals: int = 2) -> DataFrame:
     """One row per value that is not null; positions follow the given total order."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("series_id"), *order, F.col(value).alias("value"))
+    rows = dealt(df.where(F.col(value).isNotNull()).select(F.col(key).alias("series_id"), *order, F.col(value).alias("value")))
     pos = F.row_number().over(Window.partitionBy("series_id").orderBy(*order)) - 1
     return rows.select("series_id", pos.cast("bigint").alias("pos"), scaled(F.col("value"), decimals).alias("v"), "value")
 

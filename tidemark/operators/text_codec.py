@@ -83,14 +83,15 @@ class SharedFrequencies:
 
 
 class _Table:
-    """Cumulative table of a context, and the order of its symbols by share, the largest first, ties to the smaller."""
+    """Cumulative table of a context, and the ranks of its symbols by share, the largest first, ties to the smaller."""
 
     def __init__(self, probabilities: Sequence[float]):
-        row = np.asarray(probabilities, np.float64)
-        sums = np.cumsum(row * arith.SCALE + 1)
-        self.shares = np.diff(np.concatenate(([0], sums.astype(np.int64))))
-        self.cumulative = [0, *sums.astype(np.int64).tolist()]
+        sums = np.cumsum(np.asarray(probabilities, np.float64) * arith.SCALE + 1).astype(np.int64)
+        self.shares = np.diff(sums, prepend=0)
+        self.cumulative = [0, *sums.tolist()]
+        self.best = int(self.shares.argmax()) if len(self.shares) else 0
         self._order: list[int] | None = None
+        self._ranks: list[int] | None = None
 
     @property
     def order(self) -> list[int]:
@@ -98,16 +99,13 @@ class _Table:
             self._order = np.argsort(-self.shares, kind="stable").tolist()
         return self._order
 
-    @property
-    def best(self) -> int:
-        return int(self.shares.argmax())
-
     def rank(self, symbol: int) -> int:
-        own = self.shares[symbol]
-        return int(np.count_nonzero(self.shares > own) + np.count_nonzero(self.shares[:symbol] == own))
+        if self._ranks is None:
+            self._ranks = np.argsort(self.order).tolist()
+        return self._ranks[symbol]
 
     def share(self, symbol: int) -> float:
-        return int(self.shares[symbol]) / self.cumulative[-1]
+        return (self.cumulative[symbol + 1] - self.cumulative[symbol]) / self.cumulative[-1]
 
 
 class _Source:
@@ -120,9 +118,10 @@ class _Source:
         self.tables = model._tables
 
     def table(self, context: list[int]) -> _Table:
-        if self.model.memory is None:
+        memory = self.model.memory
+        if memory is None:
             return _Table(self.model.probabilities(context[-self.window :]))
-        key = tuple(context[-self.model.memory :]) if self.model.memory else ()
+        key = context[-1] if memory == 1 and context else tuple(context[-memory:]) if memory else ()
         found = self.tables.get(key)
         if found is None:
             if len(self.tables) >= TABLES:
@@ -132,6 +131,9 @@ class _Source:
 
     def block(self, context: list[int], step: int) -> Iterator[_Table]:
         """Tables of the next ``step`` symbols: only the first follows the truth, the others the model's own best symbol."""
+        if step == 1:
+            yield self.table(context)
+            return
         context = context[-self.window :]
         for k in range(step):
             table = self.table(context)
