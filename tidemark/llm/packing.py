@@ -34,6 +34,9 @@ from tidemark.llm.common import ship, stage, text_bytes
 
 VOCABULARY, END_ID, LENGTH = "word_bpe_49k.json", 1, 2048
 DIMS_HASHED, DIMS, BITS, SEED, MEMO = 256, 4, 12, 20177, 300_000
+#: Marks that end a chunk without being part of a word; after the last letter they are one token of the pattern.
+MARKS_TEXT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = MARKS_TEXT.encode()
 
 
 class WordTokens:
@@ -62,6 +65,7 @@ class WordTokens:
         self.cut = regex.compile(self.CUT).findall
         self.plain = regex.compile("[\x00-\u024f]*").fullmatch
         self.stand_in = {b: c for c, b in byte_alphabet().items()}
+        self.packers = [struct.Struct(f"<{n}{self.letter}").pack for n in range(64)]
         self.chunks = Memo(MEMO, self._chunk)
         self.words = Memo(MEMO, self._word)
 
@@ -70,17 +74,23 @@ class WordTokens:
         if not (word.isascii() and word.isprintable()):
             word = "".join(map(self.stand_in.__getitem__, word.encode("utf-8")))
         ids = [t.id for t in self.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+        return self.packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
-        # the usual chunks: letters, with or without one mark after them
+        # the usual chunks: letters, with or without marks after them
         if chunk.isalpha():  # of bytes: ASCII letters only
             return self.words[chunk.decode().lower()]
-        if chunk[-1:] in b".," and chunk[:-1].isalpha():
-            return self.words[chunk[:-1].decode().lower()] + self.words[chunk[-1:].decode()]
+        body = chunk.rstrip(MARKS)
+        if body.isalpha():
+            return self.words[body.decode().lower()] + self.words[chunk[len(body) :].decode()]
         text = as_text(chunk)
-        if self.plain(text) and "<|" not in text:
-            return b"".join([self.words[w] for w in self.cut(text.lower())])
+        if self.plain(text):
+            low = text.lower()
+            bare = low.rstrip(MARKS_TEXT)
+            if bare.isalpha():
+                return self.words[bare] + self.words[low[len(bare) :]] if len(bare) < len(low) else self.words[low]
+            if "<|" not in text:
+                return b"".join([self.words[w] for w in self.cut(low)])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: bytes) -> bytes:
