@@ -674,6 +674,19 @@ def test_copies_are_compared_byte_by_byte(spark, monkeypatch):
         compared.add([8], [3], [11], [b"bcdef"])
 
 
+def test_steps_delete_what_earlier_steps_left(spark, docs):
+    """Of the tables only the one that the result reads stays; no shuffle of a written step does."""
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    common.clear(spark)
+    before = shuffles()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    result = suffix_dedup.suffix_dedup(spark, docs)
+    assert not shuffles() - before
+    folder = Path(common.work_dir(spark).removeprefix("file://"))
+    assert [x.name.rsplit("-", 1)[0] for x in folder.iterdir()] == ["suffix-spans"]
+    assert result.count() == docs.count() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
 def test_long_texts_are_cut_into_chunks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
     text = "".join(RNG.choice("abc") for _ in range(500)).encode()

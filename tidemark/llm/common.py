@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shipping import clear, shared_dir, ship, stage, work_dir  # noqa: F401
+from tidemark.shipping import clear, drop, shared_dir, ship, stage, work_dir  # noqa: F401
 
 
 def text_bytes(name: str = "text") -> Column:

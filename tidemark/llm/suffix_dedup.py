@@ -25,7 +25,8 @@ anchor position make a segment. Anchors are counted in numeric blocks, one per s
 
 Distribution: the texts are read three times: for anchors, for the segments and runs to
 fetch, and for the result; they are joined with the few entries that concern them by id and
-hash. All shuffles are by hash; no step holds more than a bucket or a shard of SHARD bytes.
+hash. All shuffles are by hash; no step holds more than a bucket or a shard of SHARD bytes. On disk
+lie the shuffles of one step and the tables it reads and writes: those of earlier steps are deleted.
 
 Edge cases: null text counts as empty; texts shorter than ``width`` lose nothing; null ids are
 the earliest; rows of equal id and other text are ordered by a hash of the text; rows that
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import in_parts
-from tidemark.llm.common import ship, stage, text_bytes
+from tidemark.llm.common import drop, ship, stage, text_bytes
 from tidemark.llm.suffix_array import permuted_lcp, suffix_array
 
 WIDTH, K, HOT = 100, 32, 256
@@ -439,12 +440,13 @@ def window_marks(spark: SparkSession, rows: DataFrame, width: int = WIDTH, hot:
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.mapInArrow(lambda it: _anchor_batches(it, width, buckets, hot), _PACKED)
     packed = packed.repartition("bucket").sortWithinPartitions("bucket")
-    entries = stage(spark, packed.mapInArrow(lambda it: _bucket_batches(it, hot), _ROWS), "suffix-entries")
+    entries = stage(spark, packed.mapInArrow(lambda it: _bucket_batches(it, hot), _ROWS), "suffix-entries", release=True)
     wanted = entries.groupBy("rid", "key").agg(F.collect_list(F.struct("kind", "a", "b", "s", "m", "t")).alias("entries"))
     once = rows.join(wanted.hint("merge"), ["rid", "key"]).select("rid", "key", "t", "entries")
     pieces = once.mapInArrow(lambda it: _fetch_batches(it, width, buckets), _PIECES)
     pieces = pieces.repartition("shard").sortWithinPartitions("kind", "shard", "a", "s")
-    marks = stage(spark, pieces.mapInArrow(lambda it: _shard_batches(it, width, shard), _ROWS), "suffix-marks")
+    marks = stage(spark, pieces.mapInArrow(lambda it: _shard_batches(it, width, shard), _ROWS), "suffix-marks", release=True)
+    drop(spark, entries)
     return marks.select("rid", "key", "s", "m")
 
 
@@ -455,7 +457,8 @@ def suffix_dedup(
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(rid.alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), text_bytes(text_col).alias("t"))
     marks = window_marks(spark, rows, width, hot, shard)
-    marks = marks.groupBy("rid", "key").agg(F.collect_list(F.struct("s", "m")).alias("marks"))
-    marks = stage(spark, marks, "suffix-spans")
-    whole = rows.join(marks.hint("merge"), ["rid", "key"], "left").select(F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id"), "t", "marks")
+    spans = marks.groupBy("rid", "key").agg(F.collect_list(F.struct("s", "m")).alias("marks"))
+    spans = stage(spark, spans, "suffix-spans", release=True)
+    drop(spark, marks)
+    whole = rows.join(spans.hint("merge"), ["rid", "key"], "left").select(F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id"), "t", "marks")
     return whole.mapInArrow(lambda it: _result_batches(it, width), "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
