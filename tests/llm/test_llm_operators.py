@@ -687,6 +687,31 @@ def test_steps_delete_what_earlier_steps_left(spark, docs):
     assert result.count() == docs.count() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
 
 
+def test_copies_of_one_text_are_spread(monkeypatch):
+    """Many copies meet in no one bucket, and a task sends those of the same bytes to be compared once."""
+    text, n = " ".join(f"v{k}" for k in range(90)).encode(), 3000
+    schema = pa.schema([("rid", pa.int64()), ("key", pa.int64()), ("t", pa.binary())])
+    rows = pa.record_batch([pa.array(range(n)), pa.array([77] * n), pa.array([text] * n)], schema=schema)
+    packed = list(suffix_dedup._anchor_batches([rows], 100, 64, 256))
+    claims = {b: suffix_dedup._unpack(x) for p in packed for b, kind, x in zip(*(c.to_pylist() for c in p.columns), strict=True) if kind == suffix_dedup.CLAIM}
+    assert len(claims) == 64 and max(map(len, claims.values())) < 2 * sum(map(len, claims.values())) / 64
+    entries = [[] for _ in range(n)]
+    for p in packed:
+        for kind, x in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), strict=True):
+            for e in suffix_dedup._unpack(x) if kind in (suffix_dedup.CLAIM, suffix_dedup.LEAD) else []:
+                entries[e["rid"]].append({"kind": kind} | {c: int(e[c].view(np.int64)) if c in "ab" else int(e[c]) for c in ("a", "b", "s", "m", "t")})
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.int32()), ("m", pa.int32()), ("t", pa.int32())]))
+    joined = pa.record_batch([*rows.columns, pa.array(entries, kind)], names=["rid", "key", "t", "entries"])
+    for sent in (1 << 22, 1):
+        monkeypatch.setattr(suffix_dedup, "SENT", sent)
+        made = list(suffix_dedup._fetch_batches([joined], 100, 64))
+        compared = sum(p.column(1).to_pylist().count(suffix_dedup.VERIFY) for p in made)
+        assert compared == 2 if sent > 1 else 2 < compared < n / 4
+        table = pa.Table.from_batches(made).sort_by([(c, "ascending") for c in ("kind", "shard", "a", "s")])
+        marks = [(r, s, m) for p in suffix_dedup._shard_batches(table.to_batches(), 100, 5000) for r, s, m in zip(*(p.column(c).to_pylist() for c in ("rid", "s", "m")), strict=True)]
+        assert sorted(marks) == [(k, 0, len(text) - 99) for k in range(1, n)]
+
+
 def test_long_texts_are_cut_into_chunks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
     text = "".join(RNG.choice("abc") for _ in range(500)).encode()

@@ -15,7 +15,8 @@ anchor position make a segment. Anchors are counted in numeric blocks, one per s
   happens inside each task before the shuffle, so a passage in a third of all documents is
   one entry per task, and again after it. A claim marks nothing yet: claims that follow one
   another make runs, runs are cut at every SPAN bytes of the document they copy, and the
-  bytes of both sides are compared; a claim that fails ends the job;
+  bytes of both sides are compared; a claim that fails ends the job. Of runs of one place with
+  the same bytes a task sends one, so a span copied by many documents gets few pieces a task;
 * an anchor met in one kind of segment only has no other repeats;
 * the earliest of each kind of an anchor with several kinds is fetched and sorted in a shard;
 * an anchor with over HOT kinds of segments (a short common line in ever new surroundings)
@@ -39,6 +40,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,8 @@ SHARD, FLUSH, CHUNK = 1 << 20, 1 << 20, 1 << 19
 MARK, FETCH, WINDOWS, FLAG, CLAIM, LEAD, VERIFY = range(7)
 #: Runs of copies are compared in pieces of so many bytes of what they copy.
 SPAN = 1 << 12
+#: A task remembers the copies it sent up to so many bytes.
+SENT = 1 << 22
 #: An anchor with over HOT / LOCAL kinds of segments in one flush of one task is hot at once.
 LOCAL = 16
 NO_ID = -(1 << 63)
@@ -121,9 +125,16 @@ def _claims(copies: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return claims, np.unique(own)
 
 
-def _pack(e: np.ndarray, buckets: int, kind: int, by: str = "a") -> pa.RecordBatch:
-    """One row for each bucket, by anchor, or by document for entries that only pass through."""
-    bucket = (np.ascontiguousarray(e[by]).view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+def _span_keys(rid: np.ndarray, key: np.ndarray, span: np.ndarray) -> np.ndarray:
+    h = (rid.astype(np.int64).view(np.uint64) * _MUL) ^ key.astype(np.int64).view(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _MUL2 + span.astype(np.uint64)
+    return ((h ^ (h >> np.uint64(29))) * _MUL).view(np.int64)
+
+
+def _pack(e: np.ndarray, buckets: int, kind: int, by_document: bool = False) -> pa.RecordBatch:
+    """One row for each bucket, by anchor, or by document (id and text) for entries that only pass through."""
+    dealt = _span_keys(e["rid"], e["key"], np.zeros(len(e), np.int64)).view(np.uint64) if by_document else np.ascontiguousarray(e["a"])
+    bucket = (dealt % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     e, bucket = e[order], bucket[order]
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(e)]
@@ -177,11 +188,11 @@ class _Packer:
                 flags = np.zeros(int(hot.sum()), _ENTRY)
                 flags["a"] = anchors[hot]
                 yield _pack(flags, self.buckets, FLAG)
-                yield _pack(first[hot[which]], self.buckets, WINDOWS, "key")
+                yield _pack(first[hot[which]], self.buckets, WINDOWS, by_document=True)
                 first = first[~hot[which]]
-        for rows, kind, by in ((first, FETCH, "a"), *((x, kind, "key") for x, kind in later)):
+        for rows, kind in ((first, FETCH), *later):
             if len(rows):
-                yield _pack(rows, self.buckets, kind, by)
+                yield _pack(rows, self.buckets, kind, by_document=kind != FETCH)
 
 
 def _entries(a: np.ndarray, b: np.ndarray, rid: int, key: int, s: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -243,12 +254,6 @@ def _bucket_batches(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.
 _PIECES = "shard long, kind int, a long, rid long, key long, s int, seg binary"
 
 
-def _span_keys(rid: np.ndarray, key: np.ndarray, span: np.ndarray) -> np.ndarray:
-    h = (rid.astype(np.int64).view(np.uint64) * _MUL) ^ key.astype(np.int64).view(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * _MUL2 + span.astype(np.uint64)
-    return ((h ^ (h >> np.uint64(29))) * _MUL).view(np.int64)
-
-
 def _runs(doc: np.ndarray, e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Claims and led segments of the documents of a batch as runs, cut where a span of what is copied ends.
 
@@ -278,11 +283,17 @@ _PIECES = "shard long, kind int, a long, rid long, key long, s int, t int, seg b
 
 
 def _fetch_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Texts with their entries to segments for the shards, pieces to compare, and packed windows for the buckets."""
-    packer = _Packer(buckets)
+    """Texts with their entries to segments for the shards, pieces to compare, and packed windows for the buckets.
+
+    Of copies of one place that have the same bytes, the task sends one to be compared; the others are marked, as they
+    were compared with that one here and a copy that fails ends the job.
+    """
+    packer, proven, sent, size, waiting = _Packer(buckets), [], set(), 0, 0
 
     def windows() -> Iterator[pa.RecordBatch]:
-        for p in packer.flush():
+        marks = [_pack(np.concatenate(proven), buckets, MARK, by_document=True)] if proven else []
+        proven.clear()
+        for p in (*packer.flush(), *marks):
             zero = pa.array([0] * p.num_rows, pa.int64())
             kinds = pa.array([WINDOWS if k == FETCH else MARK for k in p.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([p.column(0).cast(pa.int64()), kinds, zero, zero, zero, zero.cast(pa.int32()), zero.cast(pa.int32()), p.column(2)], names=_NAMES)
@@ -294,28 +305,45 @@ def _fetch_batches(batches: Iterable[pa.RecordBatch], width: int, buckets: int)
         flat = lists.flatten()
         e = {c: flat.field(k).to_numpy(zero_copy_only=False) for k, c in enumerate(("kind", "a", "b", "s", "m", "t"))}
 
-        def rows(kind: int, d: np.ndarray, a: np.ndarray, s: np.ndarray, t: np.ndarray, start: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        def cut(d: np.ndarray, start: np.ndarray, m: np.ndarray) -> list[bytes]:
             ends = (start + m + (width - 1)).tolist()
-            seg = [texts[i][x:y] for i, x, y in zip(d.tolist(), start.tolist(), ends, strict=True)]  # noqa: B023
+            return [texts[i][x:y] for i, x, y in zip(d.tolist(), start.tolist(), ends, strict=True)]  # noqa: B023
+
+        def rows(kind: int, d: np.ndarray, a: np.ndarray, s: np.ndarray, t: np.ndarray, seg: list[bytes]) -> pa.RecordBatch:
             columns = [a, np.full(len(d), kind), a, rid[d], key[d], s, t, seg]  # noqa: B023
             return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
         at = np.flatnonzero(e["kind"] == FETCH)
         if len(at):
-            yield rows(FETCH, doc[at], e["a"][at], e["s"][at], np.zeros(len(at), np.int64), e["s"][at], e["m"][at])
+            yield rows(FETCH, doc[at], e["a"][at], e["s"][at], np.zeros(len(at), np.int64), cut(doc[at], e["s"][at], e["m"][at]))
         at = np.flatnonzero((e["kind"] == CLAIM) | (e["kind"] == LEAD))
         if len(at):
             chosen = {c: x[at] for c, x in e.items()}
             d, led = doc[at], chosen["kind"] == LEAD
             chosen["a"], chosen["b"] = np.where(led, rid[d], chosen["a"]), np.where(led, key[d], chosen["b"])
-            yield rows(VERIFY, *_runs(d, chosen))
+            d, span, place, t, start, m = _runs(d, chosen)
+            seg, first = cut(d, start, m), np.ones(len(d), bool)
+            for k, (own, piece) in enumerate(zip(place.tolist(), zip(span.tolist(), t.tolist(), seg, strict=True), strict=True)):
+                if own >= 0:
+                    first[k] = piece not in sent
+                    sent.add(piece)
+            size += sum(map(len, seg))
+            if size >= SENT:
+                sent, size = set(), 0
+            if not first.all():
+                again = np.zeros(len(d), _ENTRY)
+                again["rid"], again["key"], again["s"], again["m"] = rid[d], key[d], start, m
+                proven.append(again[~first])
+                waiting += len(proven[-1])
+            yield rows(VERIFY, *(x[first] for x in (d, span, place, t)), list(compress(seg, first)))
         for k in np.flatnonzero(e["kind"] == WINDOWS).tolist():
             text, s, m = texts[doc[k]], int(e["s"][k]), int(e["m"][k])
             digests = b"".join(hashlib.blake2b(text[i : i + width], digest_size=16).digest() for i in range(s, s + m))
             two = np.frombuffer(digests, "<u8").reshape(-1, 2)
             packer.add(_entries(two[:, 0], two[:, 1], rid[doc[k]], key[doc[k]], np.arange(s, s + m), np.ones(m, np.int64)))
-        if packer.size >= FLUSH:
+        if packer.size + waiting >= FLUSH:
             yield from windows()
+            waiting = 0
     yield from windows()
 
 
